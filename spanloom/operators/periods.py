@@ -40,7 +40,7 @@ def _hot(rows: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
     """Entities above ``hot_rows`` with the width of their coordinate blocks: few, since each holds that many rows."""
     span = F.max("__e") - F.min("__s")
     found = rows.groupBy(*keys).agg(F.count("*").alias("__n"), F.min("__s").alias("__lo"), span.alias("__span")).where(F.col("__n") > hot_rows)
-    return found.withColumn("__width", F.greatest(F.lit(BLOCK), div(F.col("__span"), BLOCKS) + 1)).select(*keys, "__lo", "__width")
+    return found.withColumn("__width", F.greatest(F.lit(BLOCK), div(F.col("__span"), BLOCKS) + 1)).select(*keys, "__lo", "__width", "__n")
 
 
 def _cold_meetings(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -56,7 +56,7 @@ def _cold_meetings(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def _hot_meetings(rows: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
     """As :func:`_cold_meetings`, for the hot entities' collapsed boundaries, with ranks as running counts."""
-    inside = rows.alias("r").join(hot.alias("h"), _same(keys, "r", "h")).select(*(F.col(f"r.{k}").alias(k) for k in keys), "__s", "__e", "__lo", "__width")
+    inside = rows.alias("r").join(hot.drop("__n").alias("h"), _same(keys, "r", "h")).select(*(F.col(f"r.{k}").alias(k) for k in keys), "__s", "__e", "__lo", "__width")
     two = F.array(F.struct(F.lit(0).alias("__side"), F.col("__s").alias("__pos")), F.struct(F.lit(1).alias("__side"), F.col("__e").alias("__pos")))
     marks = inside.select(*keys, "__lo", "__width", F.inline(two)).withColumn("__block", div(F.col("__pos") - F.col("__lo"), F.col("__width")))
     runs = marks.groupBy(*keys, "__side", "__block", "__pos").agg(F.count("*").alias("__n"))
@@ -106,11 +106,12 @@ def periods(df: DataFrame, keys: Sequence[str], start: str = "start", end: str =
     named = [F.col(a).alias(b) for a, b in zip(k, keys, strict=True)]
     # A period starts at each start that exceeds the end ranked before it (the first has none), and reaches to the end
     # before the next gap (the last has none).
-    edge = (F.col("__next") > F.col("__last")) | F.col("__last").isNull() | F.col("__next").isNull()
+    edge = (F.col("__next") > F.col("__last")) | (F.col("__rank") == 0) | F.col("__next").isNull()
     w = W.partitionBy(*k).orderBy("__rank")
     cold = parts[0].where(edge).withColumn("__to", F.lead("__last").over(w)).where(F.col("__next").isNotNull())
     cold = cold.select(*k, F.col("__next").alias("__from"), "__to")
-    edges = parts[1].where(edge).alias("r").join(hot.alias("h"), _same(k, "r", "h")).select("r.*", "__lo", "__width")
+    edges = parts[1].where(edge).alias("r").join(hot.alias("h"), _same(k, "r", "h")).where(F.col("__next").isNotNull() | (F.col("__rank") == F.col("__n")))
+    edges = edges.select("r.*", "__lo", "__width")
     edges = edges.withColumn("__block", div(F.coalesce("__last", "__next") - F.col("__lo"), F.col("__width")))
     here = W.partitionBy(*k, "__block").orderBy("__rank")
     heads = edges.groupBy(*k, "__block").agg(F.min_by("__last", "__rank").alias("__head"))

@@ -15,6 +15,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.maxMetadataStringLength", "2000")
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
