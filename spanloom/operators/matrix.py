@@ -9,9 +9,9 @@ from spanloom.functions.tiling import DEFAULT_BIN, explode_tiles
 
 
 def fitting_bin(intervals: DataFrame, least: int = 256, most: int = DEFAULT_BIN) -> int:
-    """A power of two near twice the mean width: dense tables need narrower tiles than sparse ones. One small aggregate."""
+    """A power of two near the mean width: dense tables need narrower tiles than sparse ones. One small aggregate."""
     mean = intervals.where(F.col("start") < F.col("end")).agg(F.avg(F.col("end") - F.col("start"))).first()[0] or 1.0
-    return max(least, min(most, 1 << max(0, int(2 * mean) - 1).bit_length()))
+    return max(least, min(most, 1 << max(0, int(mean) - 1).bit_length()))
 
 
 def hit_matrix(intervals: DataFrame, bin_size: int | None = None, value_above: int = 0) -> DataFrame:
@@ -28,7 +28,8 @@ def hit_matrix(intervals: DataFrame, bin_size: int | None = None, value_above: i
     a = tiled.select("contig", "tile", *(F.col(c).alias(f"a_{c}") for c in ("start", "end", "first", "ds_idx")))
     b = tiled.select("contig", "tile", *(F.col(c).alias(f"b_{c}") for c in ("start", "end", "first", "ds_idx")))
     met = (F.col("a_start") < F.col("b_end")) & (F.col("a_end") > F.col("b_start")) & (F.col("tile") == F.greatest("a_first", "b_first"))
-    return a.join(b, ["contig", "tile"]).where(met).groupBy(F.col("a_ds_idx").alias("ds_a"), F.col("b_ds_idx").alias("ds_b")).agg(F.count("*").alias("n"))
+    # Exploded sides outgrow any estimate of their size, so neither is broadcast; sorted runs spill, hash tables wouldn't.
+    return a.join(b.hint("merge"), ["contig", "tile"]).where(met).groupBy(F.col("a_ds_idx").alias("ds_a"), F.col("b_ds_idx").alias("ds_b")).agg(F.count("*").alias("n"))
 
 
 def dense(matrix: DataFrame, datasets: list[int]) -> DataFrame:

@@ -49,7 +49,8 @@ def pairs(queries: DataFrame, intervals: DataFrame, bin_size: int = DEFAULT_BIN,
     if compat_empty_first_tile and min_value <= 0:
         occupied = right.select("contig", F.col("tile").alias("q_first")).distinct()
         left = left.join(occupied, ["contig", "q_first"], "left_semi")
-    found = left.join(right, ["contig", "tile"]).where(
+    # Exploded sides outgrow any estimate of their size, so none is broadcast unless the caller has checked and marked it.
+    found = left.join(right.hint("merge"), ["contig", "tile"]).where(
         overlaps(F.col("q_start"), F.col("q_end"), F.col("r_start"), F.col("r_end")) & (F.col("tile") == F.greatest("q_first", "r_first"))
     )
     return found.select("q_id", "contig", "q_start", "q_end", "r_start", "r_end", *extra)
