@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import sys
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -27,18 +28,19 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Words in a row that count as a leak.
 RUN = 12
-#: Corpus passages are two blocks long and begin at every block; test passages have their own length and stride.
-BLOCK = 11
+#: Corpus passages are SPAN blocks long and begin at every block; test passages have their own length and stride.
+BLOCK, SPAN = 6, 3
+LENGTH, OVER = BLOCK * SPAN, BLOCK * (SPAN - 1)
 ITEM_LENGTH, ITEM_STRIDE = 18, 7
 #: Hashed terms, latent dimensions, extra directions of the random start, rounds of the power iteration.
-TERMS, RANK, EXTRA, ROUNDS = 8192, 64, 16, 2
+TERMS, RANK, EXTRA, ROUNDS = 8192, 128, 16, 2
 #: Bound of the sample that the latent space is fitted on: corpus passages, about.
 FIT_PASSAGES = 20000
 FIT_PARTS = 8
 #: Least cosine of a candidate.
-COSINE = 0.6
-#: Words of a segment; segments overlap by a passage less a word.
-SEGMENT = 11 * 372
+COSINE = 0.45
+#: Words of a segment, beside the OVER words that it shares with the next.
+SEGMENT = BLOCK * 680
 
 _WORD = re.compile(r"[^\W_]+")
 _NOT_TEXT = re.compile(r"^[^\S\r\n]*[0-9]+[^\S\r\n]*$|^.*-->.*$", re.M)
@@ -80,8 +82,8 @@ def word_table(documents: DataFrame, text: str = "text", key: str = "doc_id") ->
             docs, segs, offsets, parts, at = [], [], [0], [], 0
             for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 w = hashed(spoken_words(t))
-                for k in range(0, max(1, len(w) - BLOCK), SEGMENT):
-                    part = w[k : k + SEGMENT + BLOCK]
+                for k in range(0, max(1, len(w) - OVER), SEGMENT):
+                    part = w[k : k + SEGMENT + OVER]
                     if len(part):
                         docs.append(doc)
                         segs.append(k // SEGMENT)
@@ -137,19 +139,20 @@ def _frequencies(words: DataFrame) -> tuple[np.ndarray, int]:
     return out[:TERMS], int(out[TERMS])
 
 
-def _blocks(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of the blocks of BLOCK words in every list, the list of each, and whether it is its list's last."""
-    n = np.diff(offsets)
-    blocks = -(-n // BLOCK)
-    row = np.repeat(np.arange(len(n)), blocks)
+def _blocks(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the blocks of BLOCK words in every list, the list of each, and the blocks that follow it in its list."""
+    blocks = -(-np.diff(offsets) // BLOCK)
+    row = np.repeat(np.arange(len(blocks)), blocks)
     index = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-    return offsets[:-1][row] + index * BLOCK, row, index == blocks[row] - 1
+    return offsets[:-1][row] + index * BLOCK, row, blocks[row] - 1 - index
 
 
-def _passage_sums(values: np.ndarray, starts: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Sums of the word vectors of each block and its successor in the list."""
-    sums = np.add.reduceat(values, starts, axis=0)
-    sums[:-1] += np.where(last[:-1, None], 0, sums[1:])
+def _passage_sums(values: np.ndarray, starts: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Sums of the word vectors of each block and its next SPAN - 1 in the list."""
+    blocks = np.add.reduceat(values, starts, axis=0)
+    sums = blocks.copy()
+    for k in range(1, SPAN):
+        sums[:-k] += np.where(after[:-k, None] >= k, blocks[k:], 0)
     return sums
 
 
@@ -191,12 +194,16 @@ def _item_passages(items: list[tuple[int, np.ndarray]]) -> tuple[list[np.ndarray
 
 
 def _corpus_words(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words of all passages, each block's words once for its own and once for the preceding passage, and their passages."""
-    starts, _, last = _blocks(flat, offsets)
+    """Words of all passages, each word once for every passage it lies in, and their passages."""
+    starts, row, _ = _blocks(offsets)
     block = np.searchsorted(starts, np.arange(len(flat)), side="right") - 1
-    before = block - 1
-    twice = (before >= 0) & ~last[np.maximum(before, 0)]
-    return np.r_[flat, flat[twice]], np.r_[block, before[twice]]
+    words, passages = [flat], [block]
+    for k in range(1, SPAN):
+        before = np.maximum(block - k, 0)
+        inside = (block >= k) & (row[before] == row[block])
+        words.append(flat[inside])
+        passages.append(before[inside])
+    return np.concatenate(words), np.concatenate(passages)
 
 
 def fit(words: DataFrame, items: list[tuple[int, np.ndarray]], seed: int = 7) -> np.ndarray:
@@ -205,7 +212,9 @@ def fit(words: DataFrame, items: list[tuple[int, np.ndarray]], seed: int = 7) ->
     The random start is fixed by ``seed``; the sample of passages is chosen by a hash of its document and segment.
     """
     df, n = _frequencies(words)
-    idf = np.log((n + 1) / (df + 1)).astype(np.float32)
+    flat = np.concatenate([w for _, w in items])
+    # Only terms of the test set have weight, so that what surrounds a leaked passage doesn't hide it.
+    idf = np.where(np.bincount(_terms(flat), minlength=TERMS) > 0, np.log((n + 1) / (df + 1)), 0).astype(np.float32)
     n_passages = words.agg(F.sum(F.ceil(F.size("words") / F.lit(BLOCK)))).first()[0] or 0
     share = min(1.0, FIT_PASSAGES / max(1, n_passages))
     picked = words.where(F.pmod(F.xxhash64("doc", "seg"), F.lit(1 << 30)) < int(share * (1 << 30))).select("words").repartition(FIT_PARTS)
@@ -270,38 +279,40 @@ def lcs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return best[:, -1]
 
 
-class _Items:
-    """Everything about the test items that a search task needs; its size is that of the stated test set."""
-
-    def __init__(self, items: list[tuple[int, np.ndarray]], e: np.ndarray, answers: dict[int, np.ndarray]):
-        parts, self.ids = _item_passages(items)
-        self.lengths = np.array([len(p) for p in parts])
-        self.flat = np.concatenate(parts)
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.z = _unit(np.add.reduceat(e[_terms(self.flat)], self.starts, axis=0)).astype(np.float32)
-        self.e = e
-        self.grams = _grams(self.flat, self.starts, self.lengths, ITEM_LENGTH)
-        self.words = np.full((len(parts), ITEM_LENGTH), -1, np.int64)
-        self.words[np.arange(ITEM_LENGTH)[None, :] < self.lengths[:, None]] = self.flat
-        self.answers = answers
-
-
-def _candidates(w: np.ndarray, offsets: np.ndarray, items: _Items, cosine: float):
-    """Yield (row, first word, words, corpus grams' place, item passage, cosine) of all pairs of passages above ``cosine``."""
-    starts, row, last = _blocks(w, offsets)
-    z = _unit(_passage_sums(items.e[_terms(w)], starts, last)).astype(np.float32)
+def _search_tables(items: list[tuple[int, np.ndarray]], e: np.ndarray, answers: dict[int, np.ndarray]) -> SimpleNamespace:
+    """Everything about the test items that a search task needs; its size is that of the stated test set. Plain arrays, so
+    that workers need no module to read it."""
+    parts, ids = _item_passages(items)
+    lengths = np.array([len(p) for p in parts])
+    flat = np.concatenate(parts)
+    starts = np.cumsum(lengths) - lengths
+    words = np.full((len(parts), ITEM_LENGTH), -1, np.int64)
+    words[np.arange(ITEM_LENGTH)[None, :] < lengths[:, None]] = flat
+    z = _unit(np.add.reduceat(e[_terms(flat)], starts, axis=0)).astype(np.float32)
+    known = np.bincount(_terms(flat), minlength=TERMS) > 0
+    return SimpleNamespace(ids=ids, lengths=lengths, z=z, e=e, known=known, grams=_grams(flat, starts, lengths, ITEM_LENGTH), words=words, answers=answers)
+
+
+def _candidates(w: np.ndarray, offsets: np.ndarray, items: SimpleNamespace, cosine: float, least: int = 1):
+    """Yield (corpus passages, item passages, cosines, and of all passages starts, lists and lengths) of the pairs of passages
+    above ``cosine``. A passage of fewer than ``least`` words that occur in the test set at all isn't compared."""
+    starts, row, after = _blocks(offsets)
     ends = offsets[1:][row]
-    lengths = np.minimum(starts + 2 * BLOCK, ends) - starts
-    # A last block by itself is part of the passage before it, unless it is alone.
-    alone = ~last | (starts == offsets[:-1][row])
+    terms = _terms(w)
+    lengths = np.minimum(starts + LENGTH, ends) - starts
+    # What begins after a passage that reaches the list's end is part of that.
+    needed = (starts == offsets[:-1][row]) | (starts - BLOCK + LENGTH < ends)
+    shared = _passage_sums(items.known[terms].astype(np.int32)[:, None], starts, after)[:, 0]
+    kept = np.flatnonzero(needed & (shared >= least))
+    if not len(kept):
+        return
+    z = _unit(_passage_sums(items.e[terms], starts, after)[kept]).astype(np.float32)
     size = max(1, (1 << 22) // max(1, len(items.z)))
     for k in range(0, len(z), size):
         s = z[k : k + size] @ items.z.T
         p, q = np.divmod(np.flatnonzero(s.ravel() >= cosine), len(items.z))
-        ok = alone[p + k]
-        p, q = p[ok], q[ok]
         if len(p):
-            yield p + k, q, s[p, q], starts, row, lengths
+            yield kept[p + k], q, s[p, q], starts, row, lengths
 
 
 def _prepared(words: DataFrame, items: DataFrame, key: str, text: str):
@@ -312,7 +323,7 @@ def _prepared(words: DataFrame, items: DataFrame, key: str, text: str):
         return None
     # The answer's words: numbers and names, by which a paraphrase is told from a text of the same make.
     answers = {i: hashed(sorted({x.lower() for x in re.findall(r"(?<=[\w,;] )[A-Z][^\W_]*|[0-9]+", t)})) for i, w, t in rows if w}
-    return _Items(listed, fit(words, listed), answers)
+    return _search_tables(listed, fit(words, listed), answers)
 
 
 def leaks(documents: DataFrame, items: DataFrame, cosine: float = COSINE, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -320,7 +331,7 @@ def leaks(documents: DataFrame, items: DataFrame, cosine: float = COSINE, text:
     passages that show it and their number.
 
     Candidates are the pairs of passages whose cosine in the latent space is at least ``cosine``; every one is checked, there
-    is no cap on them. Null texts and ids, texts without words and items of fewer than RUN words match nothing; equal
+    is no cap on them; a passage of fewer than RUN words that any item has can't show a leak and isn't compared. Null texts and ids, texts without words and items of fewer than RUN words match nothing; equal
     documents match each; an empty table gives no rows. Columns beyond those named don't matter. The items are the stated
     test set and must fit in a task; the corpus is read in two passes over its word table.
     """
@@ -336,9 +347,9 @@ def leaks(documents: DataFrame, items: DataFrame, cosine: float = COSINE, text:
             it = shared.value
             for b in batches:
                 for w, offsets, docs in _slices(b):
-                    for p, q, s, starts, row, lengths in _candidates(w, offsets, it, cosine):
+                    for p, q, s, starts, row, lengths in _candidates(w, offsets, it, cosine, RUN):
                         distinct, where = np.unique(p, return_inverse=True)
-                        g = _grams(w, starts[distinct], lengths[distinct], 2 * BLOCK)
+                        g = _grams(w, starts[distinct], lengths[distinct], LENGTH)
                         g, hit = g[where], np.zeros(len(p), bool)
                         for j in range(it.grams.shape[1]):
                             mine = it.grams[q, j]
@@ -371,8 +382,8 @@ def paraphrases(documents: DataFrame, items: DataFrame, cosine: float = 0.85, le
                     for p, q, s, starts, row, lengths in _candidates(w, offsets, it, cosine):
                         for k in range(0, len(p), 20000):
                             pk, qk, sk = p[k : k + 20000], q[k : k + 20000], s[k : k + 20000]
-                            at = starts[pk][:, None] + np.arange(2 * BLOCK)[None, :]
-                            inside = np.arange(2 * BLOCK)[None, :] < lengths[pk][:, None]
+                            at = starts[pk][:, None] + np.arange(LENGTH)[None, :]
+                            inside = np.arange(LENGTH)[None, :] < lengths[pk][:, None]
                             mine = np.where(inside, w[np.minimum(at, len(w) - 1)], -2)
                             share = lcs(mine, it.words[qk]) / np.minimum(it.lengths[qk], ITEM_LENGTH)
                             ok = share >= least_lcs

@@ -66,8 +66,8 @@ def _large_pairs(e: DataFrame, sizes: DataFrame, t: float, small: int) -> DataFr
     cut = cut.groupBy("sid", "n").agg(F.max("place").alias("last"))
     # A frequency of 1 meets no one: such tokens take their place in the order, but needn't be listed.
     listed = met.where(F.col("place") >= 2 * CLASSES).join(cut, "sid").where(F.col("place") <= F.col("last"))
-    step = math.log(1 / t)
-    size_class = F.floor(F.log(F.col("n").cast("double")) / step + EPS).cast("int")
+    # Sizes of a pair differ by at most one class.
+    size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / t) + EPS) if t < 1 else F.col("n")
     listed = listed.select("sid", "n", "tok", size_class.alias("k"))
     a = listed.select(F.col("sid").alias("a"), F.col("n").alias("na"), "tok", F.explode(F.array(F.col("k"), F.col("k") + 1)).alias("k"))
     b = listed.where(F.col("n") > small).select(F.col("sid").alias("b"), F.col("n").alias("nb"), "tok", "k")

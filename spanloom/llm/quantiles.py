@@ -56,7 +56,9 @@ def _leaf(table: pa.Table, keys: list[str], eps: float) -> pa.Table:
     step = np.maximum(1, np.floor(eps * total).astype(np.int64))[group]
     bucket = (upto - 1) // step
     last = np.r_[first[1:], True]
-    keep = np.flatnonzero(first | last | np.r_[bucket[1:] != bucket[:-1], True])
+    # A run of equal values that reaches over a bucket's border stays: dropped, it would open a gap of its own size.
+    wide = (upto - g) // step != bucket
+    keep = np.flatnonzero(first | last | wide | np.r_[bucket[1:] != bucket[:-1], True])
     kept_first, kept_last = first[keep], last[keep]
     low = upto[keep]
     high = total[group[keep]] - (low - g[keep])
@@ -75,7 +77,8 @@ def _compressed(t: DataFrame, keys: list[str], eps: float) -> DataFrame:
     step = F.greatest(F.lit(1), F.floor(F.lit(eps) * F.col("__n")))
     t = t.withColumn("__bucket", F.call_function("div", F.col("__low") - 1, step)).withColumn("__high", F.col("__n") - F.col("__left") + F.col("h"))
     edge = F.lead("__bucket").over(by)
-    t = t.withColumn("__keep", edge.isNull() | (edge != F.col("__bucket")) | (F.col("__low") == F.col("g"))).where("__keep")
+    wide = F.call_function("div", F.col("__low") - F.col("g"), step) != F.col("__bucket")
+    t = t.withColumn("__keep", edge.isNull() | (edge != F.col("__bucket")) | wide | (F.col("__low") == F.col("g"))).where("__keep")
     g = F.col("__low") - F.coalesce(F.lag("__low").over(by), F.lit(0))
     h = F.col("__high") - F.coalesce(F.lead("__high").over(by), F.lit(0))
     return t.select(*keys, "v", g.alias("g"), h.alias("h"))
@@ -87,9 +90,11 @@ def summarise(df: DataFrame, keys: Sequence[str], value: str, eps: float = 0.002
     Each of the rounds and the leaves get an equal part of ``eps``, the permitted share of a group's rows between two kept
     tuples; groups of fewer than 1/eps rows stay exact. A hot group costs each partition one summary, never its rows.
     Null and NaN values are left out; a null key is a key. An empty table gives an empty summary. Values are doubles, so
-    integers are exact up to 2**53. Keys must not be named v, g or h; other columns don't matter.
+    integers are exact up to 2**53. Keys must not be named v, g or h (ValueError); other columns don't matter.
     """
     keys = list(keys)
+    if {"v", "g", "h"} & {k.lower() for k in keys}:
+        raise ValueError("keys can't be named v, g or h")
     rounds, leaves = 1, max(1, df.rdd.getNumPartitions())
     while fan_in**rounds < leaves:
         rounds += 1

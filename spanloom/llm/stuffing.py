@@ -37,7 +37,8 @@ _LINK = re.compile(r"https?://|\bwww\.|\(dot\)|\w\.(?:com|net|org|info|example|t
 _TAG = re.compile(r"(?<![\w&\"'=])#\w")
 _JOINED = re.compile(r"\w\*\w| \| |!!!|;.*;")
 _WORD = re.compile(r"[^\W_]+")
-_END = re.compile(r"[.?!…,:;)\]♪♫\"'»”*=-]\s*$")
+# Speech, songs and sounds end in some mark; a song mark read in the wrong encoding ends in this letter.
+_END = re.compile(r"(?:[\W_]|ª)\s*$")
 _DIGIT = re.compile(r"[0-9]")
 
 
