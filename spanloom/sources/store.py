@@ -7,12 +7,14 @@ region search reads only what it needs.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions.tiling import DEFAULT_BIN
 from spanloom.operators import matching, matrix, overlap, stats
 from spanloom.plans.strategy import small_side
+from spanloom.shared import written
 
 
 class IntervalStore:
@@ -25,6 +27,8 @@ class IntervalStore:
         if bin_size < 1:
             raise ValueError("the tile width must be positive")
         has_value = "value" in regions.columns
+        # Parsed once: the statistics, the range bounds and the clustered write each read the compact table.
+        regions = written(regions, "parsed")
         counted = stats.dataset_stats(regions)
         info = datasets.join(counted, "ds_idx", "left").select("ds_idx", "file", F.coalesce("n_regions", F.lit(0)).alias("n_regions"), "avg_size", F.coalesce("n_stored", F.lit(0)).alias("n_stored"))
         valid = regions.where(F.col("start") < F.col("end"))
@@ -78,6 +82,13 @@ class IntervalStore:
         hits = self.pairs(queries, min_value, compat_empty_first_tile).groupBy("ds_idx").agg(F.count("*").alias("n_hits"))
         return self.datasets.join(hits, "ds_idx", "left").select("ds_idx", "file", "n_regions", F.coalesce("n_hits", F.lit(0)).alias("n_hits"))
 
+    def hit_vector(self, queries: DataFrame, into: np.ndarray | None = None, min_value: int = 0) -> np.ndarray:
+        """Hits as a vector with a place for every dataset, added to ``into`` if given; its sum is the number of hits."""
+        out = np.zeros(self.n_datasets, np.int64) if into is None else into
+        for r in self.pairs(queries, min_value).groupBy("ds_idx").agg(F.count("*").alias("n")).toLocalIterator():
+            out[r.ds_idx] += r.n
+        return out
+
     def search(self, contig: str, start: int, end: int, min_value: int = 0) -> DataFrame:
         """(ds_idx, file, n_hits) of one region, all datasets."""
         return overlap.region_counts(self.intervals, self.datasets, contig, start, end, min_value)

@@ -67,6 +67,8 @@ def test_store(spark, folder):
     assert q.count() == 2 and bed.read_queries(spark, f"{folder}/q.bed", strict=False).count() == 3 and bed.read_regions_csv(spark, f"{folder}/q.bed").count() == 3
     assert {r.ds_idx: r.n_hits for r in s.count_hits(q).collect()} == {0: 2, 1: 2, 2: 0, 3: 0}
     assert {r.ds_idx: r.n_hits for r in s.search("chr1", 150, 160, 6).collect()} == {0: 0, 1: 1, 2: 0, 3: 0}
+    once = s.hit_vector(q)
+    assert once.tolist() == [2, 2, 0, 0] and s.hit_vector(q, once).tolist() == [4, 4, 0, 0] and s.hit_vector(q, min_value=6).sum() == 1
     assert s.full_hits(q).count() == 4 and s.region("chr1", 0, 50).count() == 1
     assert {r.ds_idx: round(r.similarity, 4) > 0 for r in s.similarity(q).collect()} == {0: True, 1: True, 2: False, 3: False}
     sinks.index_tsv(s.datasets, f"{folder}/index")
