@@ -36,6 +36,7 @@ def _parser() -> argparse.ArgumentParser:
     s.add_argument("-v", dest="value", type=int, default=0)
     s.add_argument("-s", dest="similarity", action="store_true")
     s.add_argument("-f", dest="full", action="store_true")
+    # Fixed value: the default name of the matrix file.
     s.add_argument("-o", dest="out", default="Hitsmap")
     s.add_argument("-c", dest="column", help="accepted, without effect")
     return p

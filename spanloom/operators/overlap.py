@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions.tiling import DEFAULT_BIN, explode_tiles, first_tile, overlaps
+from spanloom.plans.strategy import BROADCAST_ROWS, small_side
 from spanloom.schema import QUERIES
 
 
@@ -35,12 +36,13 @@ def _wanted(df: DataFrame, min_value: int) -> DataFrame:
     return df.where(F.col("value") >= min_value)
 
 
-def pairs(queries: DataFrame, intervals: DataFrame, bin_size: int = DEFAULT_BIN, min_value: int = 0, compat_empty_first_tile: bool = False) -> DataFrame:
+def pairs(queries: DataFrame, intervals: DataFrame, bin_size: int = DEFAULT_BIN, min_value: int = 0, compat_empty_first_tile: bool = False, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """All (query, region) pairs that overlap: q_id, q_start, q_end, contig, r_id, r_start, r_end, value, ds_idx.
 
     ``min_value`` > 0 keeps regions with at least that value. ``compat_empty_first_tile`` leaves out queries whose first
     tile holds no region at all (an old engine's behaviour); it isn't applied together with a threshold.
-    Either input may be empty: so is the result.
+    Queries of at most ``broadcast_rows`` tiles, counted first, are broadcast, and the regions stay where they are; more
+    are met in a sort-merge join by tile. Either input may be empty: so is the result.
     """
     r = _wanted(intervals, min_value)
     extra = {c: c for c in ("value", "r_id", "ds_idx") if c in r.columns}
@@ -49,8 +51,8 @@ def pairs(queries: DataFrame, intervals: DataFrame, bin_size: int = DEFAULT_BIN,
     if compat_empty_first_tile and min_value <= 0:
         occupied = right.select("contig", F.col("tile").alias("q_first")).distinct()
         left = left.join(occupied, ["contig", "q_first"], "left_semi")
-    # Exploded sides outgrow any estimate of their size, so none is broadcast unless the caller has checked and marked it.
-    found = left.join(right.hint("merge"), ["contig", "tile"]).where(
+    # Exploded sides outgrow any estimate of their size, so none is broadcast by estimate.
+    found = small_side(left, broadcast_rows).join(right.hint("merge"), ["contig", "tile"]).where(
         overlaps(F.col("q_start"), F.col("q_end"), F.col("r_start"), F.col("r_end")) & (F.col("tile") == F.greatest("q_first", "r_first"))
     )
     return found.select("q_id", "contig", "q_start", "q_end", "r_start", "r_end", *extra)

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows up to which a side is broadcast: about 1 MB of queries.
-BROADCAST_ROWS = 20_000
+#: Rows up to which a side is broadcast: some MB of query tiles.
+BROADCAST_ROWS = 100_000
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcasting if it really has at most ``limit`` rows; else unchanged, so that it is shuffled.
 
-    The size is checked by counting no more than ``limit`` + 1 rows, not taken from an estimate.
+    The size is checked by counting no more than ``limit`` + 1 rows, not taken from an estimate. A stream can't be counted
+    and is left as it is.
     """
+    if df.isStreaming or limit <= 0:
+        return df
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.tiling import DEFAULT_BIN
 from spanloom.operators import matching, matrix, overlap, stats
-from spanloom.plans.strategy import small_side
 from spanloom.shared import written
 
 
@@ -72,7 +71,7 @@ class IntervalStore:
         return stats.contig_id(self.contigs, name)
 
     def pairs(self, queries: DataFrame, min_value: int = 0, compat_empty_first_tile: bool = False) -> DataFrame:
-        return overlap.pairs(small_side(queries), self.intervals, bin_size=self.bin_size, min_value=min_value, compat_empty_first_tile=compat_empty_first_tile)
+        return overlap.pairs(queries, self.intervals, bin_size=self.bin_size, min_value=min_value, compat_empty_first_tile=compat_empty_first_tile)
 
     def full_hits(self, queries: DataFrame) -> DataFrame:
         return self.pairs(queries).join(self.datasets.select("ds_idx", "file"), "ds_idx", "left")
