@@ -28,7 +28,7 @@ def _side(df: DataFrame, names: dict[str, str], bin_size: int, first: str) -> Da
     return explode_tiles(renamed.where(F.col("contig").isNotNull()), bin_size, start, end, "tile", first)
 
 
-def _wanted(df: DataFrame, min_value: int) -> DataFrame:
+def wanted(df: DataFrame, min_value: int) -> DataFrame:
     if min_value <= 0:
         return df
     if "value" not in df.columns:
@@ -44,7 +44,7 @@ def pairs(queries: DataFrame, intervals: DataFrame, bin_size: int = DEFAULT_BIN,
     Queries of at most ``broadcast_rows`` tiles, counted first, are broadcast, and the regions stay where they are; more
     are met in a sort-merge join by tile. Either input may be empty: so is the result.
     """
-    r = _wanted(intervals, min_value)
+    r = wanted(intervals, min_value)
     extra = {c: c for c in ("value", "r_id", "ds_idx") if c in r.columns}
     left = _side(queries, {"q_id": "q_id", "start": "q_start", "end": "q_end"}, bin_size, "q_first")
     right = _side(r.where(F.col("start") < F.col("end")), {"start": "r_start", "end": "r_end", **extra}, bin_size, "r_first")
@@ -81,7 +81,7 @@ def full_hits(queries: DataFrame, intervals: DataFrame, datasets: DataFrame, **o
 
 def region(intervals: DataFrame, contig: str, start: int, end: int, min_value: int = 0) -> DataFrame:
     """Regions that overlap one literal region: a plain filter, which reaches the Parquet scan."""
-    r = _wanted(intervals, min_value)
+    r = wanted(intervals, min_value)
     return r.where((F.col("contig") == contig) & (F.col("start") < F.col("end")) & (F.col("start") < end) & (F.col("end") > start))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import explode_tiles, lenient_int, parse_bed
 from spanloom.functions.parsing import END_LIMIT, basename
-from spanloom.operators import faulty, matching, matrix, overlap, periods, skew, stats
+from spanloom.operators import faulty, matching, matrix, overlap, periods, ranked, skew, stats
 
 REGION = ("chr1", 120000000, 121500000)
 REGIONS = [("chr1", 120000000, 120500000), ("chr2", 40000000, 41000000), ("chr2", 40500000, 40500000), ("chrNone", 1, 10), ("chrX", 100, 300000)]
@@ -165,6 +165,16 @@ def unknown_contig(spark, d):
     return q.join(_r(spark, d).select("contig").distinct(), "contig", "left_anti").select("q_id")
 
 
+@_query(f"WITH {_R}, {_Q} SELECT ds_idx, count(*) AS n_hits FROM q JOIN r ON {_ON} GROUP BY 1")
+def count_hits_ranked(spark, d):
+    return ranked.count_hits_ranked(_q(spark, d), _r(spark, d))
+
+
+@_query(f"WITH r AS ({_LINES}), q AS ({_ORDERS}) SELECT ds_idx, count(*) AS n_hits FROM q JOIN r ON {_ON} GROUP BY 1")
+def count_hits_ranked_lineitem(spark, d):
+    return ranked.count_hits_ranked(order_queries(spark, d), line_regions(spark, d))
+
+
 @_query(f"WITH r AS ({_EVENTS}), q AS ({_ORDERS}) SELECT ds_idx, count(*) AS n_hits FROM q JOIN r ON {_ON} GROUP BY 1")
 def count_hits_events(spark, d):
     return overlap.count_hits(order_queries(spark, d), events_regions(spark, d))

@@ -7,6 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from spanloom.operators import matrix, overlap
+from spanloom.operators.ranked import count_hits_ranked
 from spanloom.plans.strategy import pushed_filters, small_side
 
 REGIONS = "r_id long, contig string, start long, end long, value int, ds_idx int"
@@ -58,6 +59,10 @@ def test_brute_force(spark, regions, queries, bin_size):
     q = spark.createDataFrame(qs, QUERIES).selectExpr("*", "2 r_id", "3 value")
     want = Counter((a[0], b[0]) for a in qs for b in rs if None not in (a[1], a[2], a[3], b[2], b[3]) and a[1] == b[1] and b[2] < b[3] and b[2] < a[3] and b[3] > a[2])
     assert Counter((x.q_id, x.r_id) for x in overlap.pairs(q, r, bin_size=bin_size).collect()) == want
+    assert Counter((x.q_id, x.r_id) for x in overlap.pairs(q, r, bin_size=bin_size, broadcast_rows=0).collect()) == want
+    per = Counter(rs[b][5] for _, b in want.elements())
+    for hits in (overlap.count_hits(q, r, bin_size=bin_size), count_hits_ranked(q, r, block=bin_size)):
+        assert {x.ds_idx: x.n_hits for x in hits.collect()} == per
 
 
 def test_matrix_invariants(spark):
