@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,9 +39,11 @@ def _small_pairs(e: DataFrame, sizes: DataFrame, t: float, small: int) -> DataFr
     """Pairs of small sets that share a subset of the size their similarity takes."""
     few = e.join(sizes.where(F.col("n") <= small), "sid").groupBy("sid", "n").agg(F.array_sort(F.collect_list("tok")).alias("toks"))
     partner = few.withColumn("m", F.explode(F.sequence(F.lit(1), F.lit(small)))).where((F.least("n", "m") >= F.greatest("n", "m") * F.lit(t) - EPS))
-    partner = partner.withColumn("o", _needed(F.col("n"), F.col("m"), t))
-    masks = partner.withColumn("mask", F.explode(F.sequence(F.lit(1), F.shiftleft(F.lit(1), small) - 1)))
-    masks = masks.where((F.col("mask") < F.expr("shiftleft(1, cast(n AS int))")) & (F.bit_count("mask") == F.col("o")))
+    partner = partner.withColumn("o", _needed(F.col("n"), F.col("m"), t)).where("o BETWEEN 1 AND n")
+    # The subsets of o among n places, as bit masks: a constant table, so that no other subsets are ever made.
+    table = {n * (small + 1) + o: [sum(1 << i for i in c) for c in combinations(range(n), o)] for n in range(1, small + 1) for o in range(1, n + 1)}
+    chosen_masks = F.create_map(*(x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    masks = partner.withColumn("mask", F.explode(F.try_element_at(chosen_masks, (F.col("n") * (small + 1) + F.col("o")).cast("int"))))
     chosen = F.filter("toks", lambda x, i: F.call_function("getbit", F.col("mask"), i) == 1)
     s = masks.select("sid", "n", "m", F.to_json(chosen).alias("subset"))
     a = s.where("n <= m").select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("m").alias("nb"), "subset")
