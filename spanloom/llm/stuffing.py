@@ -33,10 +33,15 @@ FEATURES = ["stuffed", "link", "tag", "joined", "list", "repeat", "open", "sente
 _TIME = re.compile(r"^.*-->.*$", re.M)
 _NUMBER = re.compile(r"\n[^\S\n]*[0-9]*[^\S\n]*(?=\n|\Z)")
 _MARK = re.compile(r"<[^>\n]*>|\{[^}\n]*\}")
-_LINK = re.compile(r"https?://|\bwww\.|\(dot\)|\w\.(?:com|net|org|info|example|test|invalid)\b", re.I)
+_ANY_LINK = re.compile(r"https?://|\bwww\.|\(dot\)|\w\.(?:com|net|org|info|example|test|invalid)\b", re.I)
+_LINK = re.compile(
+    r"<a\s[^>\n]*>.*?</a>|\S*(?:https?://|\bwww\.)\S*|[\w-]+(?: \(dot\) [\w-]+)+|[\w.-]*\w\.(?:com|net|org|info|example|test|invalid)\b\S*", re.I
+)
 _TAG = re.compile(r"(?<![\w&\"'=])#\w")
 _JOINED = re.compile(r"\w\*\w| \| |!!!|;.*;")
 _WORD = re.compile(r"[^\W_]+")
+# A word lost to a wrong encoding, which is no question.
+_LOST = re.compile(r"(?<!\S)\?{2,}(?!\S)")
 # Speech, songs and sounds end in some mark; a song mark read in the wrong encoding ends in this letter.
 _END = re.compile(r"(?:[\W_]|ª)\s*$")
 _DIGIT = re.compile(r"[0-9]")
@@ -56,12 +61,14 @@ def features(text: str) -> list[float] | None:
     stuffed = link = tag = joined = listed = repeat = open_ = sentence = digits = chars = title = 0
     counts: dict[str, int] = {}
     for cue in cues:
-        is_link = _LINK.search(cue) is not None
+        rest, links = _LINK.subn(" ", cue) if _ANY_LINK.search(cue) else (cue, 0)
         plain = _MARK.sub(" ", cue).strip()
         words = _WORD.findall(plain.lower())
+        # A sentence that names a link is an advert at most, not a list of links.
+        is_link = links > 0 and len(_WORD.findall(_MARK.sub(" ", rest))) <= 4 * links
         is_tag = _TAG.search(plain) is not None
         is_joined = _JOINED.search(plain) is not None
-        no_end = len(words) > 2 and _END.search(plain) is None
+        no_end = len(words) > 2 and _END.search(_LOST.sub("x", plain)) is None
         is_list = no_end and plain.count(",") >= 2
         is_repeat = no_end and len(words) >= 4 and len(set(words)) <= 0.8 * len(words)
         link += is_link
@@ -113,7 +120,9 @@ def _tree(x: np.ndarray, y: np.ndarray, w: np.ndarray, cuts: list[np.ndarray], d
         gain = whole - (p1 - p1**2 / np.maximum(n1, 1e-12)) - (p2 - p2**2 / np.maximum(n2, 1e-12))
         gain[(rows < LEAST_LEAF) | (len(y) - rows < LEAST_LEAF)] = -1
         if len(gain) and gain.max() > best:
-            best, choice = gain.max(), (j, float(c[gain.argmax()]))
+            # Cuts that part the sample alike lie between the same two values; the middle one leaves room on both sides.
+            alike = np.flatnonzero(gain >= gain.max() - 1e-12)
+            best, choice = gain.max(), (j, float(c[alike[len(alike) // 2]]))
     if choice is None:
         return (share,)
     j, t = choice
