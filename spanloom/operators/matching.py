@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from spanloom.operators.overlap import pair_similarity
 from spanloom.shared import cut
@@ -14,24 +13,21 @@ def match(candidates: DataFrame) -> DataFrame:
     """Greedy matching of candidate pairs (ds_idx, q_id, q_start, r_id, r_start, sm), per dataset, greatest ``sm`` first.
 
     Ties go to the earlier query, then its id, then the earlier region, then its id. With this strict order the greedy
-    result is that of taking, round by round, all pairs that are best for both their query and their region. Each round
-    is two window rankings; the rest is checkpointed. Repeated candidates match once. An empty input gives no rows.
+    result is that of taking, round by round, all pairs that are best for both their query and their region. A round is two
+    aggregates, combined before their shuffle, so that a query that meets very many regions isn't gathered; what remains
+    is checkpointed. Repeated candidates match once. An empty input gives no rows.
     """
-    q_best = W.partitionBy("ds_idx", "q_id").orderBy(F.desc("sm"), "r_start", "r_id")
-    r_best = W.partitionBy("ds_idx", "r_id").orderBy(F.desc("sm"), "q_start", "q_id")
-    q_all, r_all = W.partitionBy("ds_idx", "q_id"), W.partitionBy("ds_idx", "r_id")
     left = candidates.select("ds_idx", "q_id", "q_start", "r_id", "r_start", "sm")
     done = None
     while True:
-        ranked = left.withColumn("q_rank", F.row_number().over(q_best)).withColumn("r_rank", F.row_number().over(r_best))
-        marked = ranked.withColumn("taken", ((F.col("q_rank") == 1) & (F.col("r_rank") == 1)).cast("int"))
-        marked = marked.withColumn("gone", F.greatest(F.max("taken").over(r_all), F.max("taken").over(q_all)))
-        marked = cut(marked.drop("q_rank", "r_rank"))
-        taken = marked.where("taken = 1").drop("taken", "gone")
+        of_q = left.groupBy("ds_idx", "q_id", "q_start").agg(F.min(F.struct((-F.col("sm")).alias("m"), "r_start", "r_id")).alias("b"))
+        of_r = left.groupBy("ds_idx", "r_id", "r_start").agg(F.min(F.struct((-F.col("sm")).alias("m"), "q_start", "q_id")).alias("b"))
+        q_side = of_q.select("ds_idx", "q_id", "q_start", F.col("b.r_id").alias("r_id"), F.col("b.r_start").alias("r_start"), (-F.col("b.m")).alias("sm"))
+        taken = cut(q_side.join(of_r.select("ds_idx", "r_id", F.col("b.q_id").alias("q_id")), ["ds_idx", "q_id", "r_id"]))
+        if taken.isEmpty():
+            return taken if done is None else done
         done = taken if done is None else done.unionByName(taken)
-        left = marked.where("gone = 0").drop("taken", "gone")
-        if left.isEmpty():
-            return done
+        left = cut(left.join(taken.select("ds_idx", "q_id"), ["ds_idx", "q_id"], "left_anti").join(taken.select("ds_idx", "r_id"), ["ds_idx", "r_id"], "left_anti"))
 
 
 def match_sums(queries: DataFrame, intervals: DataFrame, **options) -> DataFrame:

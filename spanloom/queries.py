@@ -218,6 +218,11 @@ def hit_matrix_lineitem(spark, d):
     return matrix.hit_matrix(line_regions(spark, d))
 
 
+@_query(f"WITH r AS ({_EVENTS}) SELECT a.ds_idx AS ds_a, b.ds_idx AS ds_b, count(*) AS n {_PAIR} GROUP BY 1, 2")
+def hit_matrix_ranked(spark, d):
+    return ranked.hit_matrix_ranked(events_regions(spark, d))
+
+
 # Similarity
 
 _SM = "((least(qe, re) - greatest(qs, rs))::float / ((qe - qs) + (re - rs) - (least(qe, re) - greatest(qs, rs)))::float)::float"

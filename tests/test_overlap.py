@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from spanloom.operators import matrix, overlap
-from spanloom.operators.ranked import count_hits_ranked
+from spanloom.operators.ranked import count_hits_ranked, hit_matrix_ranked
 from spanloom.plans.strategy import pushed_filters, small_side
 
 REGIONS = "r_id long, contig string, start long, end long, value int, ds_idx int"
@@ -72,6 +72,12 @@ def test_matrix_invariants(spark):
     for size in (16, 1024, None):
         got = {(x.ds_a, x.ds_b): x.n for x in matrix.hit_matrix(r, size).collect()}
         assert got == want
+    for size in (1, 16, 16384):
+        assert {(x.ds_a, x.ds_b): x.n for x in hit_matrix_ranked(r, block=size).collect()} == want
+    assert {tuple(x) for x in hit_matrix_ranked(r, 3).collect()} == {tuple(x) for x in matrix.hit_matrix(r, value_above=3).collect()}
+    assert hit_matrix_ranked(r.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        hit_matrix_ranked(r.withColumn("ds_idx", r["r_id"].cast("int")))
     assert all(want[a, b] == want[b, a] for a, b in want)
     assert matrix.hit_matrix(r, value_above=3).count() and matrix.hit_matrix(r, value_above=99).count() == 0
 
