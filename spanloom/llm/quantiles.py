@@ -177,6 +177,16 @@ def exact_medians(df: DataFrame, keys: Sequence[str], value: str, bounds: DataFr
     return upto.groupBy(*keys).agg(((middle[0] + middle[1]) / 2).alias("median"))
 
 
+def closed_medians(df: DataFrame, keys: Sequence[str], value: str, summary: DataFrame) -> DataFrame:
+    """(keys, n, median), exact: from the bounds of ``summary`` where they meet, else counted between them. Null keys too."""
+    bounds = medians(summary, keys)
+    exact = exact_medians(df, keys, value, bounds.where("lo < hi"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"b.{k}").eqNullSafe(F.col(f"e.{k}"))
+    return bounds.alias("b").join(exact.alias("e"), same, "left").select(*(F.col(f"b.{k}").alias(k) for k in keys), "n", F.coalesce("median", "lo").alias("median"))
+
+
 def shifted_batches(df: DataFrame, group: str, batch: str, value: str, summary: DataFrame, factor: float = 2.0, least_rows: int = 40) -> DataFrame:
     """(group, batch) of the batches with at least ``least_rows`` values whose median is at least ``factor`` times, or at most
     its inverse of, the group's median over all batches.

@@ -94,10 +94,14 @@ def p5_sizes(spark, d):
     """Medians of the catalogue's mean sizes per assay: exact, since the bounds are closed by an exact check."""
     rows = _table(spark, d, "datasets").select("assay", "avg_size")
     summary = written(quantiles.summarise(rows, ["assay"], "avg_size"), "sizes")
-    bounds = quantiles.medians(summary, ["assay"])
-    exact = quantiles.exact_medians(rows, ["assay"], "avg_size", bounds.where("lo < hi"))
-    out = bounds.alias("b").join(exact.alias("e"), F.col("b.assay").eqNullSafe(F.col("e.assay")), "left")
-    return out.select("b.assay", "n", F.coalesce("median", "lo").alias("median"))
+    return quantiles.closed_medians(rows, ["assay"], "avg_size", summary)
+
+
+@_query(f"WITH {_W} SELECT ds_idx, batch, count(*) AS n, median(width) AS median FROM w GROUP BY 1, 2")
+def p5_medians(spark, d):
+    """Median width of every dataset and batch."""
+    rows = _widths(spark, d)
+    return quantiles.closed_medians(rows, ["ds_idx", "batch"], "width", written(quantiles.summarise(rows, ["ds_idx", "batch"], "width", 0.05), "widths"))
 
 
 # 6: leaked test items
