@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from spanloom.functions.tiling import div
+from spanloom.plans.strategy import small_side
+from spanloom.shared import written
 
 HOT_ROWS = 1_000_000
 BLOCK = 1 << 20
@@ -79,7 +81,8 @@ def _hot_meetings(rows: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame
 def _bounds(df: DataFrame, keys: Sequence[str], start: str, end: str, hot_rows: int) -> tuple[list[DataFrame], list[str], DataFrame, DataFrame]:
     k = [f"__k{i}" for i in range(len(keys))]
     rows = _keyed(df, keys, start, end)
-    hot = _hot(rows, k, hot_rows)
+    # Written once and counted, so that rows needn't move to be told hot from cold.
+    hot = small_side(written(_hot(rows, k, hot_rows), "hot"))
     cold = rows.alias("r").join(hot.alias("h"), _same(k, "r", "h"), "left_anti")
     return [_cold_meetings(cold, k), _hot_meetings(rows, hot, k)], k, rows, hot
 
