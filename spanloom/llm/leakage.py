@@ -5,7 +5,10 @@
 3. A randomised SVD of TF-IDF passages gives the latent space. It is fitted on the passages of all test items and a bounded
    sample of corpus passages; its products A'(A Y) are computed by the executors, partition by partition.
 4. Every corpus passage is projected and compared, by cosine, with every test passage, in blocks within each task.
-5. Candidates are checked word by word: for a run of common words, or for the longest common subsequence and the answer.
+5. Candidates are checked word by word for a run of common words.
+
+Paraphrases are found without a bound on the cosine: the longest common subsequence and the answer are checked in every pair of
+passages that shares enough words, and the latent space gives the cosine that is shown.
 
 Passage lengths and strides are chosen so that any run of ``RUN`` words lies whole in one passage on either side.
 """
@@ -362,10 +365,64 @@ def leaks(documents: DataFrame, items: DataFrame, cosine: float = COSINE, text:
     return out.groupBy(F.col("doc").alias(key), F.col("item").alias(item_key)).agg(F.max("cosine").alias("cosine"), F.sum("n").alias("n_runs"))
 
 
-def paraphrases(documents: DataFrame, items: DataFrame, cosine: float = 0.85, least_lcs: float = 0.6, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, cosine, lcs, answered): documents with a passage near an item's passage in the latent space, whose
-    longest common subsequence covers at least ``least_lcs`` of the item's passage. ``answered`` tells whether the passage
-    holds one of the item's numbers or names, if it has any. Inputs as in :func:`leaks`; of a pair's passages the best counts.
+def _passages(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, pad: int) -> np.ndarray:
+    """Row by row the values of passages of LENGTH words, padded."""
+    at = starts[:, None] + np.arange(LENGTH)[None, :]
+    inside = np.arange(LENGTH)[None, :] < lengths[:, None]
+    return np.where(inside, values[np.minimum(at, len(values) - 1)], pad)
+
+
+def _sharing(w: np.ndarray, offsets: np.ndarray, items: SimpleNamespace, need: np.ndarray):
+    """Yield (corpus passages, item passages, and of all passages starts, lists and lengths) of the pairs of passages in which at
+    least ``need`` of the corpus passage's words occur in the item passage. A common subsequence takes each of its words from
+    a place of its own, so none of that length is lost."""
+    starts, row, after = _blocks(offsets)
+    ends = offsets[1:][row]
+    lengths = np.minimum(starts + LENGTH, ends) - starts
+    needed = (starts == offsets[:-1][row]) | (starts - BLOCK + LENGTH < ends)
+    vocabulary = np.unique(items.words[np.arange(ITEM_LENGTH)[None, :] < items.lengths[:, None]])
+    code = np.minimum(np.searchsorted(vocabulary, w), len(vocabulary) - 1)
+    code[vocabulary[code] != w] = len(vocabulary)
+    shared = _passage_sums((code < len(vocabulary)).astype(np.int32)[:, None], starts, after)[:, 0]
+    for least in np.unique(need[need <= LENGTH]):
+        kept = np.flatnonzero(needed & (shared >= least))
+        all_columns = np.flatnonzero(need == least)
+        # A block of item passages at a time: the table holds a byte for each of its passages and each word of the test set.
+        width = max(1, (1 << 24) // (len(vocabulary) + 1))
+        for first in range(0, len(all_columns), width):
+            columns = all_columns[first : first + width]
+            has = np.zeros((len(vocabulary) + 1, len(columns)), np.uint8)
+            for j in range(ITEM_LENGTH):
+                some = np.flatnonzero(j < items.lengths[columns])
+                has[np.searchsorted(vocabulary, items.words[columns[some], j]), some] = 1
+            size = max(1, (1 << 22) // len(columns))
+            for k in range(0, len(kept), size):
+                mine = _passages(code, starts[kept[k : k + size]], lengths[kept[k : k + size]], len(vocabulary))
+                n = np.zeros((len(mine), len(columns)), np.uint8)
+                for j in range(LENGTH):
+                    n += has[mine[:, j]]
+                p, q = np.divmod(np.flatnonzero(n.ravel() >= least), len(columns))
+                if len(p):
+                    yield kept[p + k], columns[q], starts, row, lengths
+
+
+def _cosines(w: np.ndarray, starts: np.ndarray, lengths: np.ndarray, q: np.ndarray, items: SimpleNamespace) -> np.ndarray:
+    """Cosines in the latent space of corpus passages and the item passages ``q``."""
+    z = np.zeros((len(q), items.e.shape[1]), np.float32)
+    terms = _passages(_terms(w), starts, lengths, -1)
+    for j in range(LENGTH):
+        z += np.where(terms[:, j : j + 1] >= 0, items.e[terms[:, j]], 0)
+    return (_unit(z) * items.z[q]).sum(1).astype(np.float32)
+
+
+def paraphrases(documents: DataFrame, items: DataFrame, cosine: float | None = None, least_lcs: float = 0.6, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc_id, item_id, cosine, lcs, answered): documents with a passage whose longest common subsequence with an item's passage
+    covers at least ``least_lcs`` of that. ``answered`` tells whether the passage holds one of the item's numbers or names, if it
+    has any; ``cosine`` is that of the two passages in the latent space. Inputs as in :func:`leaks`; of a pair's passages the
+    best counts.
+
+    Every pair of passages that shares the words which such a subsequence takes is checked, so none is lost. A ``cosine``
+    leaves out the pairs of passages below it; by default none are.
     """
     words = word_table(documents, text, key)
     ready = _prepared(words, items, item_key, item_text)
@@ -377,19 +434,32 @@ def paraphrases(documents: DataFrame, items: DataFrame, cosine: float = 0.85, le
 
         def search(batches):
             it = shared.value
+            # The least common words that reach the share, by the same division as below.
+            reach = np.arange(ITEM_LENGTH + 1)[None, :] / it.lengths[:, None] >= least_lcs
+            need = np.where(reach.any(1), reach.argmax(1), LENGTH + 1)
             for b in batches:
                 for w, offsets, docs in _slices(b):
-                    for p, q, s, starts, row, lengths in _candidates(w, offsets, it, cosine):
+                    for p, q, starts, row, lengths in _sharing(w, offsets, it, need):
                         for k in range(0, len(p), 20000):
-                            pk, qk, sk = p[k : k + 20000], q[k : k + 20000], s[k : k + 20000]
-                            at = starts[pk][:, None] + np.arange(LENGTH)[None, :]
-                            inside = np.arange(LENGTH)[None, :] < lengths[pk][:, None]
-                            mine = np.where(inside, w[np.minimum(at, len(w) - 1)], -2)
-                            share = lcs(mine, it.words[qk]) / np.minimum(it.lengths[qk], ITEM_LENGTH)
-                            ok = share >= least_lcs
+                            pk, qk = p[k : k + 20000], q[k : k + 20000]
+                            mine = _passages(w, starts[pk], lengths[pk], -2)
+                            # Nor can it be longer than the item's words that the corpus passage has.
+                            both = np.zeros(len(pk), np.int64)
+                            for j in range(ITEM_LENGTH):
+                                both += (j < it.lengths[qk]) & (mine == it.words[qk, j][:, None]).any(1)
+                            ok = both >= need[qk]
                             if not ok.any():
                                 continue
-                            pk, qk, sk, mine, share = pk[ok], qk[ok], sk[ok], mine[ok], share[ok]
+                            pk, qk, mine = pk[ok], qk[ok], mine[ok]
+                            share = lcs(mine, it.words[qk]) / it.lengths[qk]
+                            ok = share >= least_lcs
+                            pk, qk, mine, share = pk[ok], qk[ok], mine[ok], share[ok]
+                            sk = _cosines(w, starts[pk], lengths[pk], qk, it)
+                            if cosine is not None:
+                                ok = sk >= cosine
+                                pk, qk, sk, mine, share = pk[ok], qk[ok], sk[ok], mine[ok], share[ok]
+                            if not len(pk):
+                                continue
                             said = [bool(np.isin(m, it.answers[i]).any()) if len(it.answers[i]) else True for m, i in zip(mine, it.ids[qk].tolist(), strict=True)]
                             yield pa.RecordBatch.from_arrays(
                                 [pa.array(docs[row[pk]]), pa.array(it.ids[qk]), pa.array(sk), pa.array(share.astype(np.float64)), pa.array(said)], ["doc", "item", "cosine", "lcs", "answered"]

@@ -77,6 +77,45 @@ def test_recall_on_the_corpus(spark):
     assert len(want & near) >= 0.8 * len(want)
 
 
+def _common(a, b):
+    best = [0] * (len(b) + 1)
+    for x in a:
+        above = best[:]
+        for j, y in enumerate(b):
+            best[j + 1] = above[j] + 1 if x == y else max(above[j + 1], best[j])
+    return best[-1]
+
+
+def brute_paraphrases(docs, items, least=0.6):
+    """The best share of every document and item, over all pairs of passages."""
+    parts = {i: [t.tolist() for t in leakage._item_passages([(i, np.array(w))])[0]] for i, t, *_ in items if (w := leakage.item_words(t or ""))}
+    best = {}
+    for d, t, *_ in docs:
+        w = leakage.spoken_words(t or "")
+        for k in range(0, len(w), leakage.BLOCK):
+            for i, some in parts.items():
+                share = max(_common(w[k : k + leakage.LENGTH], x) / len(x) for x in some)
+                if share >= least:
+                    best[d, i] = max(share, best.get((d, i), 0))
+    return best
+
+
+def test_paraphrases_brute_force(spark):
+    docs, items = make(60)
+    # Short items, of which an exact text and one with every third word replaced must be found as well.
+    items += [(50, "tin roof", 1), (51, "seven grey boats left the pier", 1)]
+    docs += [(900, "seven grey x left the y", "w", 1), (901, "b " * 40 + "tin roof " + "a " * 40, "w", 1), (902, None, "w", 1), (903, "tin", "w", 1)]
+    want = brute_paraphrases(docs, items)
+    df, it = spark.createDataFrame(docs, DOCS).repartition(3), spark.createDataFrame(items, ITEMS)
+    rows = leakage.paraphrases(df, it).collect()
+    got = {(r.doc_id, r.item_id): r.lcs for r in rows}
+    assert len(got) == len(rows) and got.keys() == want.keys() and {(900, 51), (901, 50)} <= got.keys()
+    # Of a pair's passages one that holds the answer goes before a longer one.
+    assert all(got[k] <= want[k] for k in got) and sum(got[k] == want[k] for k in got) >= 0.9 * len(got)
+    assert any(r.cosine < 0.85 for r in rows)
+    assert {(r.doc_id, r.item_id) for r in leakage.paraphrases(df, it, 0.85).collect()} < got.keys()
+
+
 def test_subsequence():
     a = np.array([[1, 2, 3, 4, -2], [1, 1, 1, 1, 1], [5, 6, 7, -2, -2]])
     b = np.array([[1, 3, 4, 9], [2, 2, 2, -1], [7, 6, 5, -1]])
