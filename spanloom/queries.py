@@ -54,6 +54,8 @@ _LINES = """SELECT 'chr' || (l_suppkey % 22 + 1)::varchar AS contig, floor(l_ext
  floor(l_extendedprice * 10)::bigint + floor(l_quantity * 20)::bigint AS re, l_linenumber AS ds_idx, floor(l_discount * 1000)::int AS value FROM lineitem"""
 _ORDERS = """SELECT 'chr' || (o_custkey % 50)::varchar AS contig, floor(o_totalprice * 5)::bigint AS qs,
  floor(o_totalprice * 5)::bigint + 200 + (o_orderkey % 9) * 9000 AS qe, o_orderkey AS q_id FROM orders WHERE o_orderkey % 10 = 0"""
+_ALL_ORDERS = """SELECT 'chr' || (o_custkey % 50)::varchar AS contig, floor(o_totalprice * 5)::bigint AS qs,
+ floor(o_totalprice * 5)::bigint + 200 + (o_orderkey % 9) * 9000 AS qe, o_orderkey AS q_id FROM orders"""
 
 
 def events_regions(spark: SparkSession, d: str) -> DataFrame:
@@ -71,13 +73,18 @@ def line_regions(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def order_queries(spark: SparkSession, d: str) -> DataFrame:
-    """A tenth of the orders read as query regions: this is the adapter's definition."""
-    return table(spark, d, "orders").where("o_orderkey % 10 = 0").selectExpr(
+def all_order_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Every order read as a query region."""
+    return table(spark, d, "orders").selectExpr(
         "concat('chr', cast(o_custkey % 50 AS string)) contig", "floor(o_totalprice * 5) start", "floor(o_totalprice * 5) + 200 + (o_orderkey % 9) * 9000 end", "o_orderkey q_id"
     )
 
 
+def order_queries(spark: SparkSession, d: str) -> DataFrame:
+    """A tenth of the orders read as query regions, as the SQL of four queries has it; those named ``_all`` read every order."""
+    return all_order_queries(spark, d).where("q_id % 10 = 0")
+
+
 # Overlap joins
 
 
@@ -175,16 +182,31 @@ def count_hits_ranked_lineitem(spark, d):
     return ranked.count_hits_ranked(order_queries(spark, d), line_regions(spark, d))
 
 
+@_query(f"WITH r AS ({_LINES}), q AS ({_ALL_ORDERS}) SELECT ds_idx, count(*) AS n_hits FROM q JOIN r ON {_ON} GROUP BY 1")
+def count_hits_ranked_lineitem_all(spark, d):
+    return ranked.count_hits_ranked(all_order_queries(spark, d), line_regions(spark, d))
+
+
 @_query(f"WITH r AS ({_EVENTS}), q AS ({_ORDERS}) SELECT ds_idx, count(*) AS n_hits FROM q JOIN r ON {_ON} GROUP BY 1")
 def count_hits_events(spark, d):
     return overlap.count_hits(order_queries(spark, d), events_regions(spark, d))
 
 
+@_query(f"WITH r AS ({_EVENTS}), q AS ({_ALL_ORDERS}) SELECT ds_idx, count(*) AS n_hits FROM q JOIN r ON {_ON} GROUP BY 1")
+def count_hits_events_all(spark, d):
+    return overlap.count_hits(all_order_queries(spark, d), events_regions(spark, d))
+
+
 @_query(f"WITH r AS ({_LINES}), q AS ({_ORDERS}) SELECT ds_idx, count(*) AS n_hits FROM q JOIN r ON {_ON} GROUP BY 1")
 def count_hits_lineitem(spark, d):
     return overlap.count_hits(order_queries(spark, d), line_regions(spark, d))
 
 
+@_query(f"WITH r AS ({_LINES}), q AS ({_ALL_ORDERS}) SELECT ds_idx, count(*) AS n_hits FROM q JOIN r ON {_ON} GROUP BY 1")
+def count_hits_lineitem_all(spark, d):
+    return overlap.count_hits(all_order_queries(spark, d), line_regions(spark, d))
+
+
 # Matrix
 
 _PAIR = "FROM r AS a JOIN r AS b ON a.contig = b.contig AND a.rs < b.re AND a.re > b.rs"
@@ -260,6 +282,11 @@ def matching_sum_events(spark, d):
     return matching.match_sums(order_queries(spark, d), events_regions(spark, d)).withColumn("sm_sum", F.round("sm_sum", 6))
 
 
+@_query(_matching_sql(f"r AS ({_EVENTS})", f"q AS ({_ALL_ORDERS})") + "SELECT ds_idx, round(s, 6) AS sm_sum, n AS n_matched FROM m")
+def matching_sum_events_all(spark, d):
+    return matching.match_sums(all_order_queries(spark, d), events_regions(spark, d)).withColumn("sm_sum", F.round("sm_sum", 6))
+
+
 @_query(
     _matching_sql(*_R_Q)
     + """, c AS (SELECT ds_idx, count(*) AS nr FROM intervals GROUP BY 1), k AS (SELECT count(*) AS nq FROM q WHERE qs >= 0 AND qs <= qe)
