@@ -5,6 +5,7 @@
 3. A randomised SVD of TF-IDF passages gives the latent space. It is fitted on the passages of all test items and a bounded
    sample of corpus passages; its products A'(A Y) are computed by the executors, partition by partition.
 4. Every corpus passage is projected and compared, by cosine, with every test passage, in blocks within each task.
+   Pairs that share as many words as a run has are candidates too, whatever their cosine.
 5. Candidates are checked word by word for a run of common words.
 
 Paraphrases are found without a bound on the cosine: the longest common subsequence and the answer are checked in every pair of
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import re
 import sys
+from itertools import chain
 from types import SimpleNamespace
 
 import numpy as np
@@ -40,7 +42,7 @@ TERMS, RANK, EXTRA, ROUNDS = 8192, 128, 16, 2
 #: Bound of the sample that the latent space is fitted on: corpus passages, about.
 FIT_PASSAGES = 20000
 FIT_PARTS = 8
-#: Least cosine of a candidate.
+#: Least cosine of a candidate of the latent space.
 COSINE = 0.45
 #: Words of a segment, beside the OVER words that it shares with the next.
 SEGMENT = BLOCK * 680
@@ -216,8 +218,9 @@ def fit(words: DataFrame, items: list[tuple[int, np.ndarray]], seed: int = 7) ->
     """
     df, n = _frequencies(words)
     flat = np.concatenate([w for _, w in items])
-    # Only terms of the test set have weight, so that what surrounds a leaked passage doesn't hide it.
-    idf = np.where(np.bincount(_terms(flat), minlength=TERMS) > 0, np.log((n + 1) / (df + 1)), 0).astype(np.float32)
+    # Only terms of the test set have weight, so that what surrounds a leaked passage doesn't hide it; of those every one has,
+    # also where all segments hold it.
+    idf = np.where(np.bincount(_terms(flat), minlength=TERMS) > 0, 1 + np.log((n + 1) / (df + 1)), 0).astype(np.float32)
     n_passages = words.agg(F.sum(F.ceil(F.size("words") / F.lit(BLOCK)))).first()[0] or 0
     share = min(1.0, FIT_PASSAGES / max(1, n_passages))
     picked = words.where(F.pmod(F.xxhash64("doc", "seg"), F.lit(1 << 30)) < int(share * (1 << 30))).select("words").repartition(FIT_PARTS)
@@ -297,8 +300,8 @@ def _search_tables(items: list[tuple[int, np.ndarray]], e: np.ndarray, answers:
 
 
 def _candidates(w: np.ndarray, offsets: np.ndarray, items: SimpleNamespace, cosine: float, least: int = 1):
-    """Yield (corpus passages, item passages, cosines, and of all passages starts, lists and lengths) of the pairs of passages
-    above ``cosine``. A passage of fewer than ``least`` words that occur in the test set at all isn't compared."""
+    """Yield (corpus passages, item passages, and of all passages starts, lists and lengths) of the pairs of passages whose cosine
+    is at least ``cosine``. A passage of fewer than ``least`` words that occur in the test set at all isn't compared."""
     starts, row, after = _blocks(offsets)
     ends = offsets[1:][row]
     terms = _terms(w)
@@ -315,7 +318,7 @@ def _candidates(w: np.ndarray, offsets: np.ndarray, items: SimpleNamespace, cosi
         s = z[k : k + size] @ items.z.T
         p, q = np.divmod(np.flatnonzero(s.ravel() >= cosine), len(items.z))
         if len(p):
-            yield kept[p + k], q, s[p, q], starts, row, lengths
+            yield kept[p + k], q, starts, row, lengths
 
 
 def _prepared(words: DataFrame, items: DataFrame, key: str, text: str):
@@ -333,8 +336,8 @@ def leaks(documents: DataFrame, items: DataFrame, cosine: float = COSINE, text:
     """(doc_id, item_id, cosine, n_runs): documents that contain RUN consecutive words of an item, with the best cosine of the
     passages that show it and their number.
 
-    Candidates are the pairs of passages whose cosine in the latent space is at least ``cosine``; every one is checked, there
-    is no cap on them; a passage of fewer than RUN words that any item has can't show a leak and isn't compared. Null texts and ids, texts without words and items of fewer than RUN words match nothing; equal
+    Candidates are the pairs of passages whose cosine in the latent space is at least ``cosine``, and those that share RUN words,
+    as all that show a leak do: so no leak depends on the cosine. Every one is checked, there is no cap on them; a passage of fewer than RUN words that any item has can't show a leak and isn't compared. Null texts and ids, texts without words and items of fewer than RUN words match nothing; equal
     documents match each; an empty table gives no rows. Columns beyond those named don't matter. The items are the stated
     test set and must fit in a task; the corpus is read in two passes over its word table.
     """
@@ -348,18 +351,23 @@ def leaks(documents: DataFrame, items: DataFrame, cosine: float = COSINE, text:
 
         def search(batches):
             it = shared.value
+            need = np.where(it.lengths >= RUN, RUN, LENGTH + 1)
             for b in batches:
                 for w, offsets, docs in _slices(b):
-                    for p, q, s, starts, row, lengths in _candidates(w, offsets, it, cosine, RUN):
+                    hits = []
+                    for p, q, starts, row, lengths in chain(_candidates(w, offsets, it, cosine, RUN), _sharing(w, offsets, it, need)):
                         distinct, where = np.unique(p, return_inverse=True)
                         g = _grams(w, starts[distinct], lengths[distinct], LENGTH)
                         g, hit = g[where], np.zeros(len(p), bool)
                         for j in range(it.grams.shape[1]):
                             mine = it.grams[q, j]
                             hit |= (mine != 0) & (g == mine[:, None]).any(1)
-                        if hit.any():
-                            p, q, s = p[hit], q[hit], s[hit]
-                            yield pa.RecordBatch.from_arrays([pa.array(docs[row[p]]), pa.array(it.ids[q]), pa.array(s), pa.array(np.ones(len(p), np.int64))], ["doc", "item", "cosine", "n"])
+                        hits.append(p[hit] * len(it.ids) + q[hit])
+                    # A pair that both ways lead to counts once.
+                    p, q = np.divmod(np.unique(np.concatenate(hits)), len(it.ids)) if hits else ([], [])
+                    if len(p):
+                        s = _cosines(w, starts[p], lengths[p], q, it)
+                        yield pa.RecordBatch.from_arrays([pa.array(docs[row[p]]), pa.array(it.ids[q]), pa.array(s), pa.array(np.ones(len(p), np.int64))], ["doc", "item", "cosine", "n"])
 
         out = words.select("doc", "words").mapInArrow(search, schema)
     return out.groupBy(F.col("doc").alias(key), F.col("item").alias(item_key)).agg(F.max("cosine").alias("cosine"), F.sum("n").alias("n_runs"))

@@ -60,6 +60,26 @@ def test_brute_force(spark):
         assert len(rows) == len(set(rows)) and set(rows) <= want and len(rows) >= recall * len(want)
 
 
+@pytest.mark.parametrize("copies", [1, 5])
+def test_one_text(spark, copies):
+    """A corpus of one document or of copies only, where every term is in every segment."""
+    docs, items = make(1)
+    text = " ".join(t for _, t, _ in items[:3])
+    docs = [(d, text, "w", 1) for d in range(copies)]
+    want = brute(docs, items)
+    assert len(want) >= copies
+    rows = leakage.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == want and all(r.cosine > leakage.COSINE for r in rows)
+
+
+def test_no_leak_depends_on_the_cosine(spark):
+    docs, items = make()
+    df, it = spark.createDataFrame(docs, DOCS).repartition(5), spark.createDataFrame(items, ITEMS)
+    # Beyond any cosine only the shared words lead to a pair; below all, both ways do, and it counts once.
+    none, usual, every = ({(r.doc_id, r.item_id, r.n_runs) for r in leakage.leaks(df, it, c).collect()} for c in (1.1, leakage.COSINE, -1.1))
+    assert none == usual == every and {x[:2] for x in none} == brute(docs, items)
+
+
 def test_empty(spark):
     docs, items = make(20)
     none_docs, none_items = spark.createDataFrame([], DOCS), spark.createDataFrame([], ITEMS)
