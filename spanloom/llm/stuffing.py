@@ -33,10 +33,12 @@ FEATURES = ["stuffed", "link", "tag", "joined", "list", "repeat", "open", "sente
 _TIME = re.compile(r"^.*-->.*$", re.M)
 _NUMBER = re.compile(r"\n[^\S\n]*[0-9]*[^\S\n]*(?=\n|\Z)")
 _MARK = re.compile(r"<[^>\n]*>|\{[^}\n]*\}")
-_ANY_LINK = re.compile(r"https?://|\bwww\.|\(dot\)|\w\.(?:com|net|org|info|example|test|invalid)\b", re.I)
-_LINK = re.compile(
-    r"<a\s[^>\n]*>.*?</a>|\S*(?:https?://|\bwww\.)\S*|[\w-]+(?: \(dot\) [\w-]+)+|[\w.-]*\w\.(?:com|net|org|info|example|test|invalid)\b\S*", re.I
-)
+# A bare domain by its form: labels, one with a letter, and an ending of letters, in lower or all in upper case. What a missing
+# space joins goes on with a capital ("on.Let"), and abbreviations ("p.m.") have an ending of one letter.
+_DOMAIN = r"(?-i:(?<![\w.@-])(?=[\d.-]*[^\W\d_][\w-]*\.)(?:(?:[^\W_](?:[\w-]*[^\W_])?\.)+[a-z]{2,24}|(?:[A-Z0-9](?:[A-Z0-9-]*[A-Z0-9])?\.)+[A-Z]{2,24})(?![\w@-]|['’]\w|\.\w)(?:[/:?]\S*)?)"
+_KNOWN = r"\w\.(?:com|net|org|info|example|test|invalid)\b"
+_ANY_LINK = re.compile(r"https?://|\bwww\.|\(dot\)|" + _KNOWN + "|" + _DOMAIN, re.I)
+_LINK = re.compile(r"<a\s[^>\n]*>.*?</a>|\S*(?:https?://|\bwww\.)\S*|[\w-]+(?: \(dot\) [\w-]+)+|[\w.-]*" + _KNOWN + r"\S*|" + _DOMAIN, re.I)
 _TAG = re.compile(r"(?<![\w&\"'=])#\w")
 _JOINED = re.compile(r"\w\*\w| \| |!!!|;.*;")
 _WORD = re.compile(r"[^\W_]+")

@@ -57,3 +57,16 @@ def test_few(spark, docs):
 def test_very_long():
     text = "1\n00:00 --> 00:01\n" + "word " * 300000 + "\n" + "\n" * 100000
     assert stuffing.features(text)[9] < 0.01
+
+
+@pytest.mark.parametrize("end", ["io", "de", "ru", "tv", "shop", "co.uk", "com"])
+def test_bare_domains(end):
+    cue = "1\n00:00:01,000 --> 00:00:02,000\n"
+    link = stuffing.FEATURES.index("link")
+    for line in (f"lamp.{end}", f"cheap-lamp.{end}/deal?x=1 shoes24.{end}", f"LAMP.{end.upper()}", f"(best.{end})"):
+        assert stuffing.features(cue + line)[link] == 1, line
+
+
+@pytest.mark.parametrize("line", ["Come on.Let's go.", "wait...what", "At 5 p.m.", "The U.S.A. won", "1.milk 2.bread", "It's 3.5mm", "on.let's go", "a@b.c d"])
+def test_no_domain(line):
+    assert stuffing.features("1\n00:00:01,000 --> 00:00:02,000\n" + line)[stuffing.FEATURES.index("link")] == 0
