@@ -34,7 +34,7 @@ def make(seed, sets, universe, largest):
     return out + [(None, "c", 1, "s", 1, 2), (999, "c", None, "s", 1, 2)]
 
 
-@pytest.mark.parametrize("threshold,small", [(0.7, 6), (0.5, 4), (0.7, 1), (0.9, 8), (1.0, 6)])
+@pytest.mark.parametrize("threshold,small", [(0.7, 6), (0.5, 4), (0.5, 1), (0.5, 2), (0.5, 3), (0.7, 1), (0.9, 8), (1.0, 6)])
 @pytest.mark.parametrize("sets,universe,largest", [(60, 12, 8), (60, 60, 40)])
 def test_brute_force(spark, threshold, small, sets, universe, largest):
     rows = make(sets + universe, sets, universe, largest)
@@ -43,7 +43,7 @@ def test_brute_force(spark, threshold, small, sets, universe, largest):
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("ds_idx", "contig", "tile", "sid", "n", "tok")
     # Rows without a tile have no token.
     sets_, want = brute(rows, threshold)
-    pairs, members = overlapjoin.similar_sets(df.where("tile IS NOT NULL"), "ds_idx", ["contig", "tile"], threshold, small)
+    pairs, members = overlapjoin.similar_sets(df, "ds_idx", ["contig", "tile"], threshold, small)
     got = [tuple(r) for r in overlapjoin.expanded(pairs, members).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     m = {r.sid: r.class_id for r in members.collect()}
@@ -52,6 +52,32 @@ def test_brute_force(spark, threshold, small, sets, universe, largest):
     assert count == {d: sum(d in p for p in want) for d in sets_}
 
 
+@pytest.mark.parametrize("small", range(1, 7))
+def test_bounds_of_small(spark, small):
+    """Pairs right at the threshold, on either side of ``small``."""
+    sets = {1: "xy", 2: "xyzw", 3: "k", 4: "kl", 5: "abcde", 6: "abcdefghij", 7: "mno", 8: "mnopqr"}
+    df = spark.createDataFrame([(i, c, ord(c), "s", 1, 2) for i, s in sets.items() for c in s], SCHEMA)
+    pairs, members = overlapjoin.similar_sets(df, "ds_idx", ["tile"], 0.5, small)
+    assert {tuple(r) for r in overlapjoin.expanded(pairs, members).collect()} == {(1, 2), (3, 4), (5, 6), (7, 8)}
+
+
+def test_tokens_of_parts(spark):
+    """A null part makes no token, and parts that read alike when joined stay apart."""
+    rows = [(1, "c", None), (2, "c", None), (3, "p:q", "r"), (4, "p", "q:r"), (5, None, "c"), (6, "", "1:a"), (7, "1:", "a"), (8, "p", "q:r")]
+    df = spark.createDataFrame(rows, "d int, x string, y string")
+    pairs, members = overlapjoin.similar_sets(df, "d", ["x", "y"], 0.5)
+    assert {tuple(r) for r in overlapjoin.expanded(pairs, members).collect()} == {(4, 8)}
+    assert {r.sid for r in members.collect()} == {3, 4, 6, 7, 8}
+
+
+def test_chunks(spark, monkeypatch):
+    monkeypatch.setattr(overlapjoin, "CHUNK", 7)
+    rows = make(3, 40, 60, 40)
+    _, want = brute(rows, 0.6)
+    pairs, members = overlapjoin.similar_sets(spark.createDataFrame(rows, SCHEMA), "ds_idx", ["contig", "tile"], 0.6, 3)
+    assert {tuple(r) for r in overlapjoin.expanded(pairs, members).collect()} == want
+
+
 def test_empty_and_copies(spark):
     pairs, members = overlapjoin.similar_sets(spark.createDataFrame([], SCHEMA), "ds_idx", ["contig", "tile"])
     assert pairs.count() == 0 and members.count() == 0
@@ -61,3 +87,5 @@ def test_empty_and_copies(spark):
     assert overlapjoin.expanded(pairs, members).count() == 40 * 39 // 2
     with pytest.raises(ValueError):
         overlapjoin.similar_sets(df, "ds_idx", ["tile"], 0.2)
+    with pytest.raises(ValueError):
+        overlapjoin.similar_sets(df, "ds_idx", ["tile"], 0.7, 0)
