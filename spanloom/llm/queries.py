@@ -127,10 +127,11 @@ def p6_paraphrases(spark, d):
 # 7: mixtures
 
 
-@_query(
-    """WITH s AS (SELECT source, sum(len(regexp_extract_all(text, '\\S+'))) AS n FROM documents GROUP BY 1), t AS (SELECT sum(n) AS total FROM s)
-SELECT m.source FROM mix_targets AS m CROSS JOIN t LEFT JOIN s ON s.source = m.source WHERE weight * total > max_repeats * coalesce(n, 0)"""
-)
+_REACH = """WITH s AS (SELECT source, sum(len(regexp_extract_all(text, '\\S+'))) AS n FROM documents GROUP BY 1), t AS (SELECT sum(n) AS total FROM s),
+r AS (SELECT m.source, m.max_repeats, coalesce(n, 0) AS n, weight * total <= max_repeats * coalesce(n, 0) AS reachable FROM mix_targets AS m CROSS JOIN t LEFT JOIN s ON s.source = m.source)"""
+
+
+@_query(f"{_REACH} SELECT source FROM r WHERE NOT reachable")
 def p7_found(spark, d):
     sources, _ = mixture.plan(mixture.token_sizes(_table(spark, d, "documents")), _table(spark, d, "mix_targets"))
     return sources.where("NOT reachable").select("source")
@@ -139,7 +140,7 @@ def p7_found(spark, d):
 def _mixed(spark, d):
     sizes = mixture.token_sizes(_table(spark, d, "documents"))
     sources, rates = mixture.plan(sizes, _table(spark, d, "mix_targets"))
-    return mixture.chosen(sizes, rates), sources
+    return mixture.chosen(sizes, rates), sources, rates, sizes
 
 
 @_query()
@@ -149,7 +150,20 @@ def p7_documents(spark, d):
 
 @_query()
 def p7_shares(spark, d):
-    return mixture.shares(*_mixed(spark, d))
+    return mixture.shares(*_mixed(spark, d)[:2])
+
+
+@_query(f"{_REACH} SELECT source, reachable, 0 AS n_over, 0 AS n_repeated, true AS in_bound FROM r")
+def p7_promises(spark, d):
+    """What must hold of any mixture: repeats within their caps, one row a document, tokens within the draw's bound of the fit."""
+    return mixture.kept_promises(*_mixed(spark, d))
+
+
+@_query("SELECT d.doc_id, d.source FROM documents AS d JOIN mix_targets AS m USING (source) WHERE len(text) > 0 AND max_repeats > 0")
+def p7_eligible(spark, d):
+    """Documents that may be used: those of stated sources whose rate is above 0."""
+    _, _, rates, sizes = _mixed(spark, d)
+    return sizes.where("n_tokens > 0").join(rates.where("rate > 0"), ["source", "lang", "topic"]).select("doc_id", "source")
 
 
 # 8: stuffed pages
