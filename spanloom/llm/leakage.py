@@ -1,16 +1,16 @@
 """Evaluation texts in a corpus: latent semantic retrieval of passages, then exact and paraphrase checks.
 
 1. Documents become word lists, cut into overlapping segments of bounded length, written once as a table of word hashes.
-2. Document frequencies of the hashed terms are counted over the whole corpus.
-3. A randomised SVD of TF-IDF passages gives the latent space. It is fitted on the passages of all test items and a bounded
+2. Document frequencies of the hashed terms, and how often each shingle of the test set occurs, are counted over the whole corpus.
+3. A randomised SVD of TF-IDF passages gives the latent space. It is fitted on the passages of the test items and a bounded
    sample of corpus passages; its products A'(A Y) are computed by the executors, partition by partition.
-4. Every corpus passage is projected and compared, by cosine, with every test passage, in blocks within each task.
-   Pairs that share as many words as a run has are candidates too, whatever their cosine.
-5. Candidates are checked word by word for a run of common words.
-
-Paraphrases are found without a bound on the cosine: the longest common subsequence and the answer are checked in every pair of
-passages that shares enough words, and the latent space gives the cosine that is shown.
+4. Passages meet in inverted lists: a pair that shares ``need`` shingles (or words) of a test passage of n shares h of the
+   n - need + h that are rarest in the corpus, for any h. Only these have lists, so a corpus passage meets few test passages,
+   however many there are. The pairs that meet often enough are compared by cosine in the latent space.
+5. Candidates are checked word by word for a run of common words, or for the longest common subsequence and the answer.
+   A pair below the cosine is checked as well where it shares as many words as the check takes, so none is lost.
 
+Test items are taken in blocks of bounded size, each of which searches the whole word table.
 Passage lengths and strides are chosen so that any run of ``RUN`` words lies whole in one passage on either side.
 """
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 import sys
-from itertools import chain
+from collections.abc import Iterator
 from types import SimpleNamespace
 
 import numpy as np
@@ -44,6 +44,14 @@ FIT_PASSAGES = 20000
 FIT_PARTS = 8
 #: Least cosine of a candidate of the latent space.
 COSINE = 0.45
+#: Words of a listed shingle where a run is searched for; a paraphrase keeps words, not shingles, so there single words are listed.
+SHINGLE = 3
+#: Listed shingles, or words, that a pair of passages must share to be compared.
+HITS, WORD_HITS = 3, 3
+#: Words of test items that are searched at once, about: they and their vectors are what a task holds (some 20 MB).
+ITEM_WORDS = 200_000
+#: Words of the corpus, and meetings with test passages, that a task holds at once.
+SLICE, MEETINGS = 1 << 15, 1 << 22
 #: Words of a segment, beside the OVER words that it shares with the next.
 SEGMENT = BLOCK * 680
 
@@ -109,7 +117,7 @@ def _lists(batch) -> tuple[np.ndarray, np.ndarray]:
     return c.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _slices(batch, most: int = 1 << 16):
+def _slices(batch, most: int = SLICE):
     """Flat words, offsets and documents of parts of a batch, each of about ``most`` words, to bound memory."""
     flat, offsets = _lists(batch)
     docs = batch.column(batch.schema.get_field_index("doc")).to_numpy()
@@ -124,24 +132,44 @@ def _terms(words: np.ndarray) -> np.ndarray:
     return (words.view(np.uint64) >> np.uint64(17)).astype(np.int64) % TERMS
 
 
-def _frequencies(words: DataFrame) -> tuple[np.ndarray, int]:
-    """Segments that hold each hashed term, and segments, over the whole corpus; TERMS numbers come back."""
+def _shingles(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the ``n`` words from each place on; words after the end count as 0. Single words are as they are."""
+    if n == 1 or not len(words):
+        return words
+    out, mult = np.zeros(words.shape, np.uint64), np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        for j in range(n):
+            out *= mult
+            out ^= out >> np.uint64(31)
+            out[..., : words.shape[-1] - j] += words.view(np.uint64)[..., j:]
+    return out.view(np.int64)
+
+
+def _frequencies(words: DataFrame, vocabulary: np.ndarray, shingle: int) -> tuple[np.ndarray, int, np.ndarray]:
+    """Segments that hold each hashed term, segments, and occurrences of the shingles in ``vocabulary`` (sorted), over the whole
+    corpus. As many numbers come back as there are terms and shingles of the test items."""
+    shared = words.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches):
-        total, n = np.zeros(TERMS, np.int64), 0
+        known = shared.value
+        total = np.zeros(TERMS + 1 + len(known), np.int64)
         for b in batches:
-            flat, offsets = _lists(b)
-            row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-            seen = np.unique(row * TERMS + _terms(flat))
-            total += np.bincount(seen % TERMS, minlength=TERMS)
-            n += len(offsets) - 1
+            for flat, offsets, _ in _slices(b):
+                row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+                seen = np.unique(row * TERMS + _terms(flat))
+                total[:TERMS] += np.bincount(seen % TERMS, minlength=TERMS)
+                total[TERMS] += len(offsets) - 1
+                tokens = _shingles(flat, shingle)
+                at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+                total[TERMS + 1 :] += np.bincount(at[known[at] == tokens], minlength=len(known))
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, TERMS].astype(np.int32)), pa.array(np.r_[total[at], n])], ["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["term", "n"])
 
-    counts = words.select("words").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(TERMS + 1)
+    counts = words.select("doc", "words").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(TERMS + 1 + len(vocabulary))
     out[counts.term] = counts.n
-    return out[:TERMS], int(out[TERMS])
+    shared.unpersist()
+    return out[:TERMS], int(out[TERMS]), out[TERMS + 1 :]
 
 
 def _blocks(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,15 +180,6 @@ def _blocks(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return offsets[:-1][row] + index * BLOCK, row, blocks[row] - 1 - index
 
 
-def _passage_sums(values: np.ndarray, starts: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """Sums of the word vectors of each block and its next SPAN - 1 in the list."""
-    blocks = np.add.reduceat(values, starts, axis=0)
-    sums = blocks.copy()
-    for k in range(1, SPAN):
-        sums[:-k] += np.where(after[:-k, None] >= k, blocks[k:], 0)
-    return sums
-
-
 def _unit(z: np.ndarray) -> np.ndarray:
     return z / np.maximum(np.sqrt((z * z).sum(1, keepdims=True)), 1e-12)
 
@@ -211,12 +230,12 @@ def _corpus_words(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return np.concatenate(words), np.concatenate(passages)
 
 
-def fit(words: DataFrame, items: list[tuple[int, np.ndarray]], seed: int = 7) -> np.ndarray:
+def fit(words: DataFrame, items: list[tuple[int, np.ndarray]], df: np.ndarray, n: int, seed: int = 7) -> np.ndarray:
     """TERMS x RANK matrix that maps a passage's term counts into the latent space (idf included).
 
-    The random start is fixed by ``seed``; the sample of passages is chosen by a hash of its document and segment.
+    ``df`` and ``n`` are the whole corpus' frequencies. The random start is fixed by ``seed``; the sample of passages is chosen by a
+    hash of its document and segment.
     """
-    df, n = _frequencies(words)
     flat = np.concatenate([w for _, w in items])
     # Only terms of the test set have weight, so that what surrounds a leaked passage doesn't hide it; of those every one has,
     # also where all segments hold it.
@@ -285,91 +304,179 @@ def lcs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return best[:, -1]
 
 
-def _search_tables(items: list[tuple[int, np.ndarray]], e: np.ndarray, answers: dict[int, np.ndarray]) -> SimpleNamespace:
-    """Everything about the test items that a search task needs; its size is that of the stated test set. Plain arrays, so
-    that workers need no module to read it."""
-    parts, ids = _item_passages(items)
-    lengths = np.array([len(p) for p in parts])
-    flat = np.concatenate(parts)
-    starts = np.cumsum(lengths) - lengths
+def _index(tokens: np.ndarray, lengths: np.ndarray, need: np.ndarray, hits: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inverted lists (keys, first place, test passages) of the passages' rarest tokens.
+
+    A pair that shares the tokens of ``need`` places of a test passage shares those of ``hits`` of any length - need + hits places.
+    ``count`` says how often the token of each place occurs in the corpus. Passages shorter than their ``need`` have no list.
+    """
+    places = np.arange(tokens.shape[1])[None, :]
+    order = np.argsort(np.where(places < lengths[:, None], count, np.inf), axis=1, kind="stable")
+    chosen = (places < (lengths - need + hits)[:, None]) & (need <= lengths)[:, None]
+    q, j = np.nonzero(chosen)
+    keys = tokens[q, order[q, j]]
+    by = np.argsort(keys, kind="stable")
+    distinct, first = np.unique(keys[by], return_index=True)
+    return distinct, np.r_[first, len(by)], q[by]
+
+
+def _item_matrix(items: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(flat words, lengths, words row by row padded with -1, item) of all test passages."""
+    parts, at = _item_passages([(i, w) for i, (_, w, _) in enumerate(items)])
+    lengths, flat = np.array([len(p) for p in parts]), np.concatenate(parts)
     words = np.full((len(parts), ITEM_LENGTH), -1, np.int64)
     words[np.arange(ITEM_LENGTH)[None, :] < lengths[:, None]] = flat
+    return flat, lengths, words, at
+
+
+def _vocabulary(items: list[tuple[int, np.ndarray, np.ndarray]], shingle: int) -> np.ndarray:
+    _, lengths, words, _ = _item_matrix(items)
+    tokens = _shingles(words, shingle)
+    return np.unique(np.r_[tokens[np.arange(ITEM_LENGTH)[None, :] + shingle <= lengths[:, None]], 0])
+
+
+def _search_tables(items: list[tuple[int, np.ndarray, np.ndarray]], e: np.ndarray, vocabulary: np.ndarray, count: np.ndarray, needed, shingle: int, hits: int) -> SimpleNamespace:
+    """Everything about a block of test items that a search task needs. Plain arrays, so that workers need no module to read it.
+    ``needed`` gives the words that a passage of each length must share."""
+    flat, lengths, words, at = _item_matrix(items)
+    starts = np.cumsum(lengths) - lengths
+    need = needed(lengths)
+    tokens = _shingles(words, shingle)
+    often = count[np.minimum(np.searchsorted(vocabulary, tokens), len(vocabulary) - 1)]
+    hits = np.minimum(hits, need - shingle + 1)
     z = _unit(np.add.reduceat(e[_terms(flat)], starts, axis=0)).astype(np.float32)
-    known = np.bincount(_terms(flat), minlength=TERMS) > 0
-    return SimpleNamespace(ids=ids, lengths=lengths, z=z, e=e, known=known, grams=_grams(flat, starts, lengths, ITEM_LENGTH), words=words, answers=answers)
+    return SimpleNamespace(
+        ids=np.array([items[i][0] for i in at], np.int64), lengths=lengths, z=z, e=e, need=need, shingle=shingle, hits=hits,
+        index=_index(tokens, lengths - shingle + 1, need - shingle + 1, hits, often), grams=_grams(flat, starts, lengths, ITEM_LENGTH), words=words, answers=[items[i][2] for i in at],
+    )
 
 
-def _candidates(w: np.ndarray, offsets: np.ndarray, items: SimpleNamespace, cosine: float, least: int = 1):
-    """Yield (corpus passages, item passages, and of all passages starts, lists and lengths) of the pairs of passages whose cosine
-    is at least ``cosine``. A passage of fewer than ``least`` words that occur in the test set at all isn't compared."""
-    starts, row, after = _blocks(offsets)
+def _met(w: np.ndarray, offsets: np.ndarray, items: SimpleNamespace):
+    """Corpus passages and test passages that share enough listed tokens, and of all passages starts, lists and lengths."""
+    starts, row, _ = _blocks(offsets)
     ends = offsets[1:][row]
-    terms = _terms(w)
     lengths = np.minimum(starts + LENGTH, ends) - starts
     # What begins after a passage that reaches the list's end is part of that.
-    needed = (starts == offsets[:-1][row]) | (starts - BLOCK + LENGTH < ends)
-    shared = _passage_sums(items.known[terms].astype(np.int32)[:, None], starts, after)[:, 0]
-    kept = np.flatnonzero(needed & (shared >= least))
-    if not len(kept):
-        return
-    z = _unit(_passage_sums(items.e[terms], starts, after)[kept]).astype(np.float32)
-    size = max(1, (1 << 22) // max(1, len(items.z)))
-    for k in range(0, len(z), size):
-        s = z[k : k + size] @ items.z.T
-        p, q = np.divmod(np.flatnonzero(s.ravel() >= cosine), len(items.z))
-        if len(p):
-            yield kept[p + k], q, starts, row, lengths
-
-
-def _prepared(words: DataFrame, items: DataFrame, key: str, text: str):
-    rows = [(i, item_words(t), t) for i, t in items.select(F.col(key).cast("long"), F.col(text)).where(F.col(key).isNotNull() & F.col(text).isNotNull()).toLocalIterator()]
-    hashed = _hasher()
-    listed = [(i, hashed(w)) for i, w, _ in rows if w]
-    if not listed:
-        return None
-    # The answer's words: numbers and names, by which a paraphrase is told from a text of the same make.
-    answers = {i: hashed(sorted({x.lower() for x in re.findall(r"(?<=[\w,;] )[A-Z][^\W_]*|[0-9]+", t)})) for i, w, t in rows if w}
-    return _search_tables(listed, fit(words, listed), answers)
+    whole = (starts == offsets[:-1][row]) | (starts - BLOCK + LENGTH < ends)
+    size, tokens = len(items.lengths), _shingles(w, items.shingle)
+    keys, first, passages = items.index
+    at = np.minimum(np.searchsorted(keys, tokens), max(len(keys) - 1, 0))
+    place = np.flatnonzero(keys[at] == tokens) if len(keys) else np.zeros(0, np.int64)
+    n = first[at[place] + 1] - first[at[place]]
+    block, upto, met, k = np.searchsorted(starts, place, side="right") - 1, np.cumsum(n), [], 0
+    while k < len(place):
+        to = max(k + 1, int(np.searchsorted(upto, upto[k] - n[k] + MEETINGS, side="right")))
+        m = n[k:to]
+        q = passages[np.arange(m.sum()) + np.repeat(first[at[place[k:to]]] - (np.cumsum(m) - m), m)]
+        met.append(np.unique(np.repeat(block[k:to], m) * size + q, return_counts=True))
+        k = to
+    if not met:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), starts, row, lengths
+    code, hits = (np.concatenate(x) for x in zip(*met, strict=True))
+    # A block lies in the passages that begin with it and with each of the SPAN - 1 before it.
+    block, both = code // size, [(code, hits)]
+    for k in range(1, SPAN):
+        ok = (block >= k) & (row[np.maximum(block - k, 0)] == row[block])
+        both.append((code[ok] - k * size, hits[ok]))
+    code, hits = (np.concatenate(x) for x in zip(*both, strict=True))
+    by = np.argsort(code, kind="stable")
+    code, hits = code[by], hits[by]
+    new = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+    total, code = np.add.reduceat(hits, new), code[new]
+    p, q = np.divmod(code[total >= items.hits[code % size]], size)
+    ok = whole[p]
+    return p[ok], q[ok], starts, row, lengths
+
+
+def _candidates(w: np.ndarray, offsets: np.ndarray, items: SimpleNamespace, cosine: float):
+    """Yield (corpus passages, their words, test passages, cosines, and of all passages starts, lists and lengths) of the pairs that
+    reach ``cosine`` or, below it, in which enough places of the test passage have a word of the corpus passage."""
+    p, q, starts, row, lengths = _met(w, offsets, items)
+    for k in range(0, len(p), 20000):
+        pk, qk = p[k : k + 20000], q[k : k + 20000]
+        s = _cosines(w, starts[pk], lengths[pk], qk, items)
+        mine = _passages(w, starts[pk], lengths[pk], -2)
+        both = np.zeros(len(pk), np.int64)
+        for j in range(ITEM_LENGTH):
+            both += (j < items.lengths[qk]) & (mine == items.words[qk, j][:, None]).any(1)
+        ok = (s >= cosine) | (both >= items.need[qk])
+        if ok.any():
+            yield pk[ok], mine[ok], qk[ok], s[ok], starts, row, lengths
+
+
+def _item_blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[int, np.ndarray, np.ndarray]]]:
+    """(id, words, words of the answer) of the test items, in blocks of about ITEM_WORDS words; the driver holds one at a time.
+
+    The answer's words are numbers and names, by which a paraphrase is told from a text of the same make."""
+    hashed, block, size = _hasher(), [], 0
+    for i, t in items.select(F.col(key).cast("long"), F.col(text)).where(F.col(key).isNotNull() & F.col(text).isNotNull()).toLocalIterator():
+        w = hashed(item_words(t))
+        if len(w):
+            block.append((i, w, hashed(sorted({x.lower() for x in re.findall(r"(?<=[\w,;] )[A-Z][^\W_]*|[0-9]+", t)}))))
+            size += len(w)
+        if size >= ITEM_WORDS:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
+
+def _searched(words: DataFrame, items: DataFrame, key: str, text: str, needed, shingle: int, hits: int, search, schema: str) -> DataFrame:
+    """The union of ``search(tables, flat words, offsets, documents)`` over all slices of the word table and all blocks of items."""
+    context, out = words.sparkSession.sparkContext, []
+    blocks = _item_blocks(items, key, text)
+    block = next(blocks, None)
+    while block is not None:
+        vocabulary = _vocabulary(block, shingle)
+        df, n, count = _frequencies(words, vocabulary, shingle)
+        shared = context.broadcast(_search_tables(block, fit(words, [(i, w) for i, w, _ in block], df, n), vocabulary, count, needed, shingle, hits))
+
+        def run(batches, shared=shared):
+            for b in batches:
+                for w, offsets, docs in _slices(b):
+                    yield from search(shared.value, w, offsets, docs)
+
+        found = words.select("doc", "words").mapInArrow(run, schema)
+        block = next(blocks, None)
+        if block is not None or out:
+            # Of several blocks each is searched at once, so that only one block's tables exist at a time.
+            found = written(found, "block")
+            shared.unpersist()
+        out.append(found)
+    whole = out[0] if out else words.sparkSession.createDataFrame([], schema)
+    for more in out[1:]:
+        whole = whole.unionByName(more)
+    return whole
 
 
 def leaks(documents: DataFrame, items: DataFrame, cosine: float = COSINE, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, cosine, n_runs): documents that contain RUN consecutive words of an item, with the best cosine of the
     passages that show it and their number.
 
-    Candidates are the pairs of passages whose cosine in the latent space is at least ``cosine``, and those that share RUN words,
-    as all that show a leak do: so no leak depends on the cosine. Every one is checked, there is no cap on them; a passage of fewer than RUN words that any item has can't show a leak and isn't compared. Null texts and ids, texts without words and items of fewer than RUN words match nothing; equal
-    documents match each; an empty table gives no rows. Columns beyond those named don't matter. The items are the stated
-    test set and must fit in a task; the corpus is read in two passes over its word table.
+    Candidates are the pairs of passages that share HITS of the test passage's rarest shingles and whose cosine in the latent space is
+    at least ``cosine``; below it those that share RUN words, as all that show a leak do, so no leak depends on the cosine. Every one
+    is checked, there is no cap on them. Null texts and ids, texts without words and items of fewer than RUN words match
+    nothing; equal documents match each; an empty table gives no rows. Columns beyond those named don't matter. Items are
+    searched in blocks, so their number isn't bounded.
     """
     words = word_table(documents, text, key)
-    ready = _prepared(words, items, item_key, item_text)
-    schema = "doc long, item long, cosine float, n long"
-    if ready is None:
-        out = words.sparkSession.createDataFrame([], schema)
-    else:
-        shared = words.sparkSession.sparkContext.broadcast(ready)
-
-        def search(batches):
-            it = shared.value
-            need = np.where(it.lengths >= RUN, RUN, LENGTH + 1)
-            for b in batches:
-                for w, offsets, docs in _slices(b):
-                    hits = []
-                    for p, q, starts, row, lengths in chain(_candidates(w, offsets, it, cosine, RUN), _sharing(w, offsets, it, need)):
-                        distinct, where = np.unique(p, return_inverse=True)
-                        g = _grams(w, starts[distinct], lengths[distinct], LENGTH)
-                        g, hit = g[where], np.zeros(len(p), bool)
-                        for j in range(it.grams.shape[1]):
-                            mine = it.grams[q, j]
-                            hit |= (mine != 0) & (g == mine[:, None]).any(1)
-                        hits.append(p[hit] * len(it.ids) + q[hit])
-                    # A pair that both ways lead to counts once.
-                    p, q = np.divmod(np.unique(np.concatenate(hits)), len(it.ids)) if hits else ([], [])
-                    if len(p):
-                        s = _cosines(w, starts[p], lengths[p], q, it)
-                        yield pa.RecordBatch.from_arrays([pa.array(docs[row[p]]), pa.array(it.ids[q]), pa.array(s), pa.array(np.ones(len(p), np.int64))], ["doc", "item", "cosine", "n"])
-
-        out = words.select("doc", "words").mapInArrow(search, schema)
+
+    def search(it, w, offsets, docs):
+        hits = []
+        for p, _, q, s, starts, row, lengths in _candidates(w, offsets, it, cosine):
+            distinct, where = np.unique(p, return_inverse=True)
+            g = _grams(w, starts[distinct], lengths[distinct], LENGTH)
+            g, hit = g[where], np.zeros(len(p), bool)
+            for j in range(it.grams.shape[1]):
+                mine = it.grams[q, j]
+                hit |= (mine != 0) & (g == mine[:, None]).any(1)
+            hits.append((docs[row[p[hit]]], it.ids[q[hit]], s[hit]))
+        if hits:
+            doc, item, s = (np.concatenate(x) for x in zip(*hits, strict=True))
+            if len(doc):
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(item), pa.array(s), pa.array(np.ones(len(doc), np.int64))], ["doc", "item", "cosine", "n"])
+
+    out = _searched(words, items, item_key, item_text, lambda n: np.where(n >= RUN, RUN, LENGTH + 1), SHINGLE, HITS, search, "doc long, item long, cosine float, n long")
     return out.groupBy(F.col("doc").alias(key), F.col("item").alias(item_key)).agg(F.max("cosine").alias("cosine"), F.sum("n").alias("n_runs"))
 
 
@@ -380,40 +487,6 @@ def _passages(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, pad:
     return np.where(inside, values[np.minimum(at, len(values) - 1)], pad)
 
 
-def _sharing(w: np.ndarray, offsets: np.ndarray, items: SimpleNamespace, need: np.ndarray):
-    """Yield (corpus passages, item passages, and of all passages starts, lists and lengths) of the pairs of passages in which at
-    least ``need`` of the corpus passage's words occur in the item passage. A common subsequence takes each of its words from
-    a place of its own, so none of that length is lost."""
-    starts, row, after = _blocks(offsets)
-    ends = offsets[1:][row]
-    lengths = np.minimum(starts + LENGTH, ends) - starts
-    needed = (starts == offsets[:-1][row]) | (starts - BLOCK + LENGTH < ends)
-    vocabulary = np.unique(items.words[np.arange(ITEM_LENGTH)[None, :] < items.lengths[:, None]])
-    code = np.minimum(np.searchsorted(vocabulary, w), len(vocabulary) - 1)
-    code[vocabulary[code] != w] = len(vocabulary)
-    shared = _passage_sums((code < len(vocabulary)).astype(np.int32)[:, None], starts, after)[:, 0]
-    for least in np.unique(need[need <= LENGTH]):
-        kept = np.flatnonzero(needed & (shared >= least))
-        all_columns = np.flatnonzero(need == least)
-        # A block of item passages at a time: the table holds a byte for each of its passages and each word of the test set.
-        width = max(1, (1 << 24) // (len(vocabulary) + 1))
-        for first in range(0, len(all_columns), width):
-            columns = all_columns[first : first + width]
-            has = np.zeros((len(vocabulary) + 1, len(columns)), np.uint8)
-            for j in range(ITEM_LENGTH):
-                some = np.flatnonzero(j < items.lengths[columns])
-                has[np.searchsorted(vocabulary, items.words[columns[some], j]), some] = 1
-            size = max(1, (1 << 22) // len(columns))
-            for k in range(0, len(kept), size):
-                mine = _passages(code, starts[kept[k : k + size]], lengths[kept[k : k + size]], len(vocabulary))
-                n = np.zeros((len(mine), len(columns)), np.uint8)
-                for j in range(LENGTH):
-                    n += has[mine[:, j]]
-                p, q = np.divmod(np.flatnonzero(n.ravel() >= least), len(columns))
-                if len(p):
-                    yield kept[p + k], columns[q], starts, row, lengths
-
-
 def _cosines(w: np.ndarray, starts: np.ndarray, lengths: np.ndarray, q: np.ndarray, items: SimpleNamespace) -> np.ndarray:
     """Cosines in the latent space of corpus passages and the item passages ``q``."""
     z = np.zeros((len(q), items.e.shape[1]), np.float32)
@@ -433,47 +506,24 @@ def paraphrases(documents: DataFrame, items: DataFrame, cosine: float | None = N
     leaves out the pairs of passages below it; by default none are.
     """
     words = word_table(documents, text, key)
-    ready = _prepared(words, items, item_key, item_text)
-    schema = "doc long, item long, cosine float, lcs double, answered boolean"
-    if ready is None:
-        out = words.sparkSession.createDataFrame([], schema)
-    else:
-        shared = words.sparkSession.sparkContext.broadcast(ready)
-
-        def search(batches):
-            it = shared.value
-            # The least common words that reach the share, by the same division as below.
-            reach = np.arange(ITEM_LENGTH + 1)[None, :] / it.lengths[:, None] >= least_lcs
-            need = np.where(reach.any(1), reach.argmax(1), LENGTH + 1)
-            for b in batches:
-                for w, offsets, docs in _slices(b):
-                    for p, q, starts, row, lengths in _sharing(w, offsets, it, need):
-                        for k in range(0, len(p), 20000):
-                            pk, qk = p[k : k + 20000], q[k : k + 20000]
-                            mine = _passages(w, starts[pk], lengths[pk], -2)
-                            # Nor can it be longer than the item's words that the corpus passage has.
-                            both = np.zeros(len(pk), np.int64)
-                            for j in range(ITEM_LENGTH):
-                                both += (j < it.lengths[qk]) & (mine == it.words[qk, j][:, None]).any(1)
-                            ok = both >= need[qk]
-                            if not ok.any():
-                                continue
-                            pk, qk, mine = pk[ok], qk[ok], mine[ok]
-                            share = lcs(mine, it.words[qk]) / it.lengths[qk]
-                            ok = share >= least_lcs
-                            pk, qk, mine, share = pk[ok], qk[ok], mine[ok], share[ok]
-                            sk = _cosines(w, starts[pk], lengths[pk], qk, it)
-                            if cosine is not None:
-                                ok = sk >= cosine
-                                pk, qk, sk, mine, share = pk[ok], qk[ok], sk[ok], mine[ok], share[ok]
-                            if not len(pk):
-                                continue
-                            said = [bool(np.isin(m, it.answers[i]).any()) if len(it.answers[i]) else True for m, i in zip(mine, it.ids[qk].tolist(), strict=True)]
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array(docs[row[pk]]), pa.array(it.ids[qk]), pa.array(sk), pa.array(share.astype(np.float64)), pa.array(said)], ["doc", "item", "cosine", "lcs", "answered"]
-                            )
-
-        out = words.select("doc", "words").mapInArrow(search, schema)
+
+    def search(it, w, offsets, docs):
+        for p, mine, q, s, _, row, _ in _candidates(w, offsets, it, 2.0):
+            share = lcs(mine, it.words[q]) / it.lengths[q]
+            ok = share >= least_lcs
+            if cosine is not None:
+                ok &= s >= cosine
+            p, q, s, mine, share = p[ok], q[ok], s[ok], mine[ok], share[ok]
+            if len(p):
+                said = [bool(np.isin(m, it.answers[i]).any()) if len(it.answers[i]) else True for m, i in zip(mine, q.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(docs[row[p]]), pa.array(it.ids[q]), pa.array(s), pa.array(share.astype(np.float64)), pa.array(said)], ["doc", "item", "cosine", "lcs", "answered"])
+
+    def needed(n):
+        # The least common words that reach the share, by the same division as above.
+        reach = np.arange(ITEM_LENGTH + 1)[None, :] / n[:, None] >= least_lcs
+        return np.where(reach.any(1), np.maximum(1, reach.argmax(1)), LENGTH + 1)
+
+    out = _searched(words, items, item_key, item_text, needed, 1, WORD_HITS, search, "doc long, item long, cosine float, lcs double, answered boolean")
     best = F.max(F.struct("answered", "lcs", "cosine")).alias("b")
     return out.groupBy(F.col("doc").alias(key), F.col("item").alias(item_key)).agg(best).select(key, item_key, "b.cosine", "b.lcs", "b.answered")
 
