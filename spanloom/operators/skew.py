@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.plans.strategy import leaf_tasks
+
 NODE = "__node"
 
 #: How partial states of each kind are merged.
@@ -19,14 +21,15 @@ def tree_aggregate(df: DataFrame, keys: Sequence[str], states: dict[str, tuple[s
     ``states`` names each result: ``("count", condition or None)``, ``("sum" | "min" | "max", column)`` or
     ``("distinct", column)`` (a mergeable sketch, finished as an estimate). Every input chunk - a task's partition, whose
     size the scan bounds - combines its rows locally into one state per key; then states meet in groups of ``fan_in``
-    neighbouring chunks, and so on for log(leaves) rounds. A key that fills every chunk hence costs its rows only where
-    they lie, and each round only states.
+    neighbouring chunks, and so on for log(leaves) rounds, one before the last at least. A key that fills every chunk hence costs its
+    rows only where they lie, and each round only states. ``leaves`` is estimated from the input's size where it isn't given; a
+    wrong one changes the rounds only.
 
     Nulls: a null key is a key of its own; sums, minima and maxima skip nulls and are null where nothing remains; counts
     are 0. An empty input gives no rows. The keys' names mustn't begin with two underscores; other columns don't matter.
     """
     if leaves is None:
-        leaves = max(1, df.rdd.getNumPartitions())
+        leaves = leaf_tasks(df)
     level = df.select(
         *keys,
         F.spark_partition_id().alias(NODE),
@@ -40,14 +43,14 @@ def tree_aggregate(df: DataFrame, keys: Sequence[str], states: dict[str, tuple[s
         "distinct": lambda c: F.hll_sketch_agg(c),
     }
     aggregates = [first[kind](F.col(f"__{name}")).alias(name) for name, (kind, _) in states.items()]
+    merges = [_MERGE[kind](name).alias(name) for name, (kind, _) in states.items()]
     while True:
         leaves = -(-leaves // fan_in)
-        if leaves <= 1:
-            level = level.groupBy(*keys).agg(*aggregates)
-            break
         node = F.call_function("div", F.col(NODE), F.lit(fan_in)).cast("int").alias(NODE)
-        level = level.groupBy(*keys, node).agg(*aggregates)
-        aggregates = [_MERGE[kind](name).alias(name) for name, (kind, _) in states.items()]
+        level, aggregates = level.groupBy(*keys, node).agg(*aggregates), merges
+        if leaves <= fan_in:
+            break
+    level = level.groupBy(*keys).agg(*merges)
     return level.select(*keys, *((F.hll_sketch_estimate(name) if kind == "distinct" else F.col(name)).alias(name) for name, (kind, _) in states.items()))
 
 
@@ -71,7 +74,7 @@ def region_totals(intervals: DataFrame, fan_in: int = 16) -> DataFrame:
         "min_start": ("min", s),
         "max_end": ("max", e),
     }
-    return tree_aggregate(rows, ["key_kind", "key_text"], states, fan_in, leaves=max(1, intervals.rdd.getNumPartitions()))
+    return tree_aggregate(rows, ["key_kind", "key_text"], states, fan_in, leaves=leaf_tasks(intervals))
 
 
 def heavy_keys(intervals: DataFrame, share: float = 0.03, fan_in: int = 16) -> DataFrame:
