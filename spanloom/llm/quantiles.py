@@ -20,10 +20,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from spanloom.plans.strategy import leaf_tasks, looked_up
+from spanloom.shared import written
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Rows that one leaf summary takes in at once.
 CHUNK_ROWS = 1 << 19
+#: Value ranges that the open interval of a group is split into where its values are counted exactly.
+BLOCKS = 1024
 
 
 def _codes(columns: list[pa.ChunkedArray]) -> np.ndarray:
@@ -85,7 +90,8 @@ def _compressed(t: DataFrame, keys: list[str], eps: float) -> DataFrame:
 
 
 def summarise(df: DataFrame, keys: Sequence[str], value: str, eps: float = 0.002, fan_in: int = 32) -> DataFrame:
-    """The summary (keys, v, g, h) of ``value`` by ``keys``, built per partition and merged in rounds of ``fan_in``.
+    """The summary (keys, v, g, h) of ``value`` by ``keys``, built per partition and merged in rounds of ``fan_in``, as many as the
+    input's estimated size asks for.
 
     Each of the rounds and the leaves get an equal part of ``eps``, the permitted share of a group's rows between two kept
     tuples; groups of fewer than 1/eps rows stay exact. A hot group costs each partition one summary, never its rows.
@@ -95,7 +101,7 @@ def summarise(df: DataFrame, keys: Sequence[str], value: str, eps: float = 0.002
     keys = list(keys)
     if {"v", "g", "h"} & {k.lower() for k in keys}:
         raise ValueError("keys can't be named v, g or h")
-    rounds, leaves = 1, max(1, df.rdd.getNumPartitions())
+    rounds, leaves = 1, leaf_tasks(df)
     while fan_in**rounds < leaves:
         rounds += 1
     part = eps / (rounds + 1)
@@ -161,25 +167,75 @@ def medians(summary: DataFrame, keys: Sequence[str]) -> DataFrame:
     return q.withColumns({"lo": (F.col("lo0") + F.col("lo1")) / 2, "hi": (F.col("hi0") + F.col("hi1")) / 2})
 
 
+def _exact(df: DataFrame, keys: list[str], value: str, bounds: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """(keys, extra, __i, __value): the values of the ranks in ``bounds`` (keys, extra, __lo, __hi, __ranks), which lie within __lo and
+    __hi; null keys too.
+
+    Only values within the bounds are counted one by one. They are counted by value before they move, and placed in BLOCKS value
+    ranges: the ranges' counts tell which holds a rank and how many values precede it, and only those are put in order. So no
+    group's values are gathered in one task.
+    """
+    v, group = F.col(f"`{value}`").cast("double"), [*keys, *extra]
+    valid = df.select(*keys, v.alias("__v")).where("__v IS NOT NULL AND NOT isnan(__v)")
+    near = looked_up(valid, written(bounds.select(*group, "__lo", "__hi", "__ranks"), "bounds"), keys).where("__v <= __hi")
+    place = F.least(F.lit(BLOCKS - 1), F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * BLOCKS))
+    block = F.when(F.col("__v") < F.col("__lo"), -1).when(F.col("__hi") > F.col("__lo"), place).otherwise(0).cast("int")
+    counts = near.groupBy(*group, "__ranks", block.alias("__block"), F.when(F.col("__v") >= F.col("__lo"), F.col("__v")).alias("__v")).agg(F.count("*").alias("__c"))
+    counts = written(counts, "near")
+    before = W.partitionBy(*group).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = counts.groupBy(*group, "__ranks", "__block").agg(F.sum("__c").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    holds = F.exists("__ranks", lambda r: (r > F.col("__before")) & (r <= F.col("__before") + F.col("__n")))
+    picked = blocks.where((F.col("__block") >= 0) & holds).select(*group, "__block", "__before")
+    same = F.lit(True)
+    for k in [*group, "__block"]:
+        same = same & F.col(f"c.{k}").eqNullSafe(F.col(f"p.{k}"))
+    inside = counts.alias("c").join(picked.alias("p"), same).select("c.*", "__before")
+    run = W.partitionBy(*group, "__block").orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
+    upto = inside.withColumn("__u", F.col("__before") + F.sum("__c").over(run))
+    each = upto.select(*group, "__v", "__u", F.posexplode("__ranks").alias("__i", "__r"))
+    return each.groupBy(*group, "__i").agg(F.min(F.when(F.col("__u") >= F.col("__r"), F.col("__v"))).alias("__value"))
+
+
 def exact_medians(df: DataFrame, keys: Sequence[str], value: str, bounds: DataFrame) -> DataFrame:
-    """(keys, median) of the groups in ``bounds`` (rows of :func:`medians`), null keys too: only values within the bounds are counted one by one."""
-    b = bounds.select(*keys, F.least("lo0", "lo1").alias("__lo"), F.greatest("hi0", "hi1").alias("__hi"), "r0", "r1")
-    v = F.col(f"`{value}`").cast("double")
+    """(keys, median) of the groups in ``bounds`` (rows of :func:`medians`), null keys too."""
+    b = bounds.select(*keys, F.least("lo0", "lo1").alias("__lo"), F.greatest("hi0", "hi1").alias("__hi"), F.array("r0", "r1").alias("__ranks"))
+    return _exact(df, list(keys), value, b).groupBy(*keys).agg((F.sum("__value") / 2).alias("median"))
+
+
+def closed_quantiles(df: DataFrame, keys: Sequence[str], value: str, summary: DataFrame, probabilities: Sequence[float]) -> DataFrame:
+    """(keys, i, n, value), exact, of each probability's place i: from the bounds of ``summary`` where they meet, else counted between
+    them. Null keys too."""
+    keys = list(keys)
+    q = quantiles(summary, keys, probabilities)
+    rows = F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"r{i}").alias("r"), F.col(f"lo{i}").alias("__lo"), F.col(f"hi{i}").alias("__hi")) for i in range(len(probabilities))))
+    each = written(q.select(*keys, "n", F.inline(rows)), "quantiles")
+    exact = _exact(df, keys, value, each.where("__lo < __hi").withColumn("__ranks", F.array("r")), ["i"])
+    same = F.col("b.i") == F.col("e.i")
+    for k in keys:
+        same = same & F.col(f"b.{k}").eqNullSafe(F.col(f"e.{k}"))
+    return each.alias("b").join(exact.alias("e"), same, "left").select(*(F.col(f"b.{k}").alias(k) for k in keys), "b.i", "n", F.coalesce("__value", "__lo").alias("value"))
+
+
+def covered(df: DataFrame, keys: Sequence[str], value: str, summary: DataFrame, probabilities: Sequence[float]) -> DataFrame:
+    """(keys, n, n_tuples, rank_error, n_covered): for how many of the probabilities the value of the true rank lies within the bounds
+    of ``summary``, by counting all rows below and up to each bound, and the size of the group's summary. Null keys too."""
+    keys = list(keys)
+    q = written(quantiles(summary, keys, probabilities), "quantiles")
+    counted = looked_up(df.select(*keys, F.col(f"`{value}`").cast("double").alias("__v")).where("__v IS NOT NULL AND NOT isnan(__v)"), q, keys)
+    states = [a for i in range(len(probabilities)) for a in (F.count_if(F.col("__v") < F.col(f"lo{i}")).alias(f"a{i}"), F.count_if(F.col("__v") <= F.col(f"hi{i}")).alias(f"b{i}"))]
+    ranks = [f"r{i}" for i in range(len(probabilities))]
+    found = counted.groupBy(*keys, "n", "rank_error", *ranks).agg(*states)
+    within = [((F.col(f"a{i}") < F.col(f"r{i}")) & (F.col(f"b{i}") >= F.col(f"r{i}"))).cast("int") for i in range(len(probabilities))]
+    tuples = summary.groupBy(*keys).agg(F.count("*").alias("n_tuples"))
     same = F.lit(True)
     for k in keys:
-        same = same & F.col(f"d.{k}").eqNullSafe(F.col(f"b.{k}"))
-    valid = df.select(*keys, v.alias("__v")).where("__v IS NOT NULL AND NOT isnan(__v)")
-    near = valid.alias("d").join(b.alias("b"), same & (F.col("__v") <= F.col("__hi"))).select(*(F.col(f"d.{k}").alias(k) for k in keys), "__v", "__lo", "r0", "r1")
-    counts = near.groupBy(*keys, "r0", "r1", F.when(F.col("__v") >= F.col("__lo"), F.col("__v")).alias("__v")).agg(F.count("*").alias("c"))
-    run = W.partitionBy(*keys).orderBy(F.asc_nulls_first("__v")).rowsBetween(W.unboundedPreceding, 0)
-    upto = counts.withColumn("u", F.sum("c").over(run)).where("__v IS NOT NULL")
-    middle = [F.min(F.when(F.col("u") >= F.col(r), F.col("__v"))) for r in ("r0", "r1")]
-    return upto.groupBy(*keys).agg(((middle[0] + middle[1]) / 2).alias("median"))
+        same = same & F.col(f"f.{k}").eqNullSafe(F.col(f"t.{k}"))
+    return found.alias("f").join(tuples.alias("t"), same).select(*(F.col(f"f.{k}").alias(k) for k in keys), "n", "n_tuples", "rank_error", sum(within).alias("n_covered"))
 
 
 def closed_medians(df: DataFrame, keys: Sequence[str], value: str, summary: DataFrame) -> DataFrame:
     """(keys, n, median), exact: from the bounds of ``summary`` where they meet, else counted between them. Null keys too."""
-    bounds = medians(summary, keys)
+    bounds = written(medians(summary, keys), "medians")
     exact = exact_medians(df, keys, value, bounds.where("lo < hi"))
     same = F.lit(True)
     for k in keys:
@@ -201,7 +257,7 @@ def shifted_batches(df: DataFrame, group: str, batch: str, value: str, summary:
     lo, hi, g_lo, g_hi = (F.col(c) for c in ("lo", "hi", "g_lo", "g_hi"))
     sure = (lo >= g_hi * factor) | (hi * factor <= g_lo)
     never = (hi < g_lo * factor) & (lo * factor > g_hi)
-    both = both.withColumn("verdict", F.when(sure, 1).when(never, 0).otherwise(-1))
+    both = written(both.withColumn("verdict", F.when(sure, 1).when(never, 0).otherwise(-1)).where("verdict <> 0"), "verdicts")
     open_ = both.where("verdict = -1")
     exact_b = exact_medians(df, [group, batch], value, open_)
     open_g = open_.select(group, *(F.col(f"g_{c}").alias(c) for c in ("lo0", "hi0", "lo1", "hi1", "r0", "r1"))).distinct()

@@ -78,7 +78,7 @@ SELECT ds_idx, batch FROM b JOIN g USING (ds_idx) WHERE n >= 40 AND (m >= 2 * gm
 )
 def p5_found(spark, d):
     rows = _widths(spark, d)
-    summary = written(quantiles.summarise(rows, ["ds_idx", "batch"], "width"), "widths")
+    summary = written(quantiles.summarise(rows, ["ds_idx", "batch"], "width", 0.1), "widths")
     return quantiles.shifted_batches(rows, "ds_idx", "batch", "width", summary)
 
 
@@ -104,6 +104,28 @@ def p5_medians(spark, d):
     return quantiles.closed_medians(rows, ["ds_idx", "batch"], "width", written(quantiles.summarise(rows, ["ds_idx", "batch"], "width", 0.05), "widths"))
 
 
+_PLACES = [0.01, 0.25, 0.5, 0.9, 0.99]
+_P = ", ".join(f"({i}, {p})" for i, p in enumerate(_PLACES))
+
+
+@_query(f"WITH {_W}, o AS (SELECT ds_idx, width, row_number() OVER (PARTITION BY ds_idx ORDER BY width) AS r, count(*) OVER (PARTITION BY ds_idx) AS n FROM w), p(i, p) AS (VALUES {_P}) SELECT ds_idx, i, n, width::double AS value FROM o JOIN p ON r = greatest(1, ceil(n * p - 1e-9))")
+def p5_quantiles(spark, d):
+    """Five percentiles of each dataset: batches summarised within 2 % of their rows, combined, closed between the bounds."""
+    rows = _widths(spark, d)
+    summary = written(quantiles.combine(quantiles.summarise(rows, ["ds_idx", "batch"], "width", 0.02), ["ds_idx"], 0.02), "widths")
+    return quantiles.closed_quantiles(rows, ["ds_idx"], "width", summary, _PLACES)
+
+
+@_query("SELECT contig, count(*) AS n, 5 AS n_covered, true AS error_kept, true AS tuples_kept FROM intervals WHERE start >= 0 AND start < \"end\" GROUP BY 1")
+def p5_bounds(spark, d):
+    """Whether the summaries of contigs keep what they promise: every true rank's value within the bounds, the stated error, and at
+    most 400 tuples, however many rows: a fixed part of a large group, all of a small one."""
+    rows = _valid(spark, d).select("contig", (F.col("end") - F.col("start")).alias("width"))
+    summary = written(quantiles.summarise(rows, ["contig"], "width", 0.01), "contigs")
+    c = quantiles.covered(rows, ["contig"], "width", summary, _PLACES)
+    return c.select("contig", "n", "n_covered", (F.col("rank_error") <= 0.01 * F.col("n") + 1).alias("error_kept"), (F.col("n_tuples") <= 400).alias("tuples_kept"))
+
+
 # 6: leaked test items
 
 _GRAMS = r"""lines AS (SELECT doc_id, unnest(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) AS l, generate_subscripts(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),

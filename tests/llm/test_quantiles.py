@@ -60,6 +60,25 @@ def test_compression_and_exact(spark):
     assert exact == {k[0]: float(np.median(v)) for k, v in groups(data, ["k"]).items()}
 
 
+@pytest.mark.parametrize("broadcast,blocks", [(10**6, 1024), (0, 3), (10**6, 1)])
+def test_closed_quantiles(spark, monkeypatch, broadcast, blocks):
+    """Exact values of ranks, with the bounds broadcast or met under salts, in many value ranges or one; covered by the bounds."""
+    real = quantiles.looked_up
+    monkeypatch.setattr(quantiles, "looked_up", lambda rows, table, keys: real(rows, table, keys, broadcast))
+    monkeypatch.setattr(quantiles, "BLOCKS", blocks)
+    data = [*rows(9000), ("a", 0, float("inf"), "v", 1), ("a", 0, float("-inf"), "v", 1), ("far", 0, 1e300, "v", 1), ("far", 0, -1e300, "v", 1)]
+    df = spark.createDataFrame(data, SCHEMA).repartition(6)
+    ps = [0.0, 0.02, 0.5, 0.77, 1.0]
+    s = quantiles.summarise(df, ["k"], "x", 0.1, 4)
+    got = {(r.k, r.i): (r.n, r.value) for r in quantiles.closed_quantiles(df, ["k"], "x", s, ps).collect()}
+    want = groups(data, ["k"])
+    assert got == {(k[0], i): (len(v), v[max(1, int(np.ceil(p * len(v) - 1e-9))) - 1]) for k, v in want.items() for i, p in enumerate(ps)}
+    c = {r.k: r for r in quantiles.covered(df, ["k"], "x", s, ps).collect()}
+    assert all(c[k[0]].n == len(v) and c[k[0]].n_covered == len(ps) for k, v in want.items())
+    # A hot group's summary is a small part of its rows.
+    assert c["hot"].n_tuples < 0.02 * c["hot"].n
+
+
 @pytest.mark.parametrize("eps", [0.3, 0.05, 0.002])
 def test_shifted(spark, eps):
     r = np.random.default_rng(3)
