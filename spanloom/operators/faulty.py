@@ -31,11 +31,14 @@ def _tokens(text: Column) -> Column:
     zero = F.struct(F.lit(False).alias("open"), F.lit(False).alias("bad"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("fields"), F.lit("").alias("held"))
 
     def ended(body: Column, prefix: str) -> list[Column]:
-        # Doubled quotes pair up from the left within a run, so what remains of a run is its closing quote.
-        folded = F.replace(body, F.lit('""'), F.lit("\u0000"))
-        at, size = F.instr(folded, '"'), F.length(folded)
-        inside = F.replace(F.replace(folded, F.lit('"'), F.lit("")), F.lit("\u0000"), F.lit('"'))
-        return [(at == 0).alias(f"{prefix}_open"), ((at > 0) & (at < size)).alias(f"{prefix}_bad"), inside.alias(f"{prefix}_text")]
+        # Doubled quotes pair up from the left within a run, so what remains in the pieces between them are single quotes. A field
+        # is closed where the first of these is the last character.
+        pieces = F.split(body, '""', -1)
+        single = F.exists(pieces, lambda p: p.contains('"'))
+        last = F.element_at(pieces, -1)
+        closed = ~F.exists(F.slice(pieces, 1, F.size(pieces) - 1), lambda p: p.contains('"')) & (F.instr(last, '"') == F.length(last))
+        inside = F.array_join(F.transform(pieces, lambda p: F.replace(p, F.lit('"'), F.lit(""))), '"')
+        return [(~single).alias(f"{prefix}_open"), (single & ~closed).alias(f"{prefix}_bad"), inside.alias(f"{prefix}_text")]
 
     def both(piece: Column) -> Column:
         """What a piece means where a quoted field is open before it (c), and where not (s)."""

@@ -58,6 +58,8 @@ def lines():
     out += [f"chr1\t{s}\t{e}\tn\t{v}" for s, e, v in (("+1", 5, 5), (" 1", 5, 5), ("1", "2147483648", 5), ("0", "0", 5), ("9", "3", 1), ("00000000000007", "8", "-0"), ("٣", "8", 1), ("1", "9" * 60, 1), ("", "", ""))]
     out += [f"chr1\t1\t2\tn\t{v}" for v in ("", ".", "-", "--1", "1.5", "2147483647", "2147483648", "-2147483648", "-2147483649", "1e3", "+4", " 4", "x", "0" * 30 + "7")]
     out += ["chr" + "x" * 36 + "\t1\t2\tn\t1", "chr" + "x" * 37 + "\t1\t2\tn\t1", "Chr1\t1\t2\tn\t1", "\t".join("abc"), "\t" * 200, '"' * 5001, "chr1\t1\t2\t" + "n" * 300000 + "\t1", '"' + "a\t" * 20000 + '"\t1', "chr1\t1\t2\ta\nb\t1"]
+    # The character that other readers take for "nothing" is a character like any other.
+    out += ["chr1\t1\t2\ta\0b\t1", 'chr1\t1\t2\t"a\0b"\t1', 'chr1\t1\t2\t"\0"\t1', 'chr1\t1\t2\t"a\0""b"\t1', 'chr1\t1\t2\t"a\0\0"x\t1', "\0chr1\t1\t2\ta\t1", "chr\0\t1\t2\ta\t1", "chr1\t1\t2\ta\t1\0", "\0"]
     alphabet = ["chr1", "10", "20", '"', '""', "\t", "\t", "\t", "a", ".", "-3", "\r", " "]
     out += ["".join(r.choice(alphabet) for _ in range(r.randrange(1, 14))) for _ in range(1500)]
     pieces = ["chr1", '"chr1"', "10", '"10"', "7", "x", '"a\tb"', '"a"c', "", "."]
