@@ -388,20 +388,27 @@ def _met(w: np.ndarray, offsets: np.ndarray, items: SimpleNamespace):
     return p[ok], q[ok], starts, row, lengths
 
 
-def _candidates(w: np.ndarray, offsets: np.ndarray, items: SimpleNamespace, cosine: float):
+def _enough(mine: np.ndarray, q: np.ndarray, items: SimpleNamespace) -> np.ndarray:
+    """Whether enough places of each test passage have a word of the corpus passage beside it."""
+    both = np.zeros(len(q), np.int8)
+    words = items.words[q]
+    for j in range(ITEM_LENGTH):
+        both += (mine == words[:, j : j + 1]).any(1)
+    return both >= items.need[q]
+
+
+def _candidates(w: np.ndarray, offsets: np.ndarray, items: SimpleNamespace, cosine: float | None):
     """Yield (corpus passages, their words, test passages, cosines, and of all passages starts, lists and lengths) of the pairs that
-    reach ``cosine`` or, below it, in which enough places of the test passage have a word of the corpus passage."""
+    reach ``cosine`` or, below it, share enough words. Without a cosine the words alone decide, and it is computed after."""
     p, q, starts, row, lengths = _met(w, offsets, items)
     for k in range(0, len(p), 20000):
         pk, qk = p[k : k + 20000], q[k : k + 20000]
-        s = _cosines(w, starts[pk], lengths[pk], qk, items)
         mine = _passages(w, starts[pk], lengths[pk], -2)
-        both = np.zeros(len(pk), np.int64)
-        for j in range(ITEM_LENGTH):
-            both += (j < items.lengths[qk]) & (mine == items.words[qk, j][:, None]).any(1)
-        ok = (s >= cosine) | (both >= items.need[qk])
+        s = None if cosine is None else _cosines(w, starts[pk], lengths[pk], qk, items)
+        ok = np.zeros(len(pk), bool) if cosine is None else s >= cosine
+        ok[~ok] = _enough(mine[~ok], qk[~ok], items)
         if ok.any():
-            yield pk[ok], mine[ok], qk[ok], s[ok], starts, row, lengths
+            yield pk[ok], mine[ok], qk[ok], None if s is None else s[ok], starts, row, lengths
 
 
 def _item_blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[int, np.ndarray, np.ndarray]]]:
@@ -508,12 +515,14 @@ def paraphrases(documents: DataFrame, items: DataFrame, cosine: float | None = N
     words = word_table(documents, text, key)
 
     def search(it, w, offsets, docs):
-        for p, mine, q, s, _, row, _ in _candidates(w, offsets, it, 2.0):
+        for p, mine, q, _, starts, row, lengths in _candidates(w, offsets, it, None):
             share = lcs(mine, it.words[q]) / it.lengths[q]
             ok = share >= least_lcs
+            p, q, mine, share = p[ok], q[ok], mine[ok], share[ok]
+            s = _cosines(w, starts[p], lengths[p], q, it)
             if cosine is not None:
-                ok &= s >= cosine
-            p, q, s, mine, share = p[ok], q[ok], s[ok], mine[ok], share[ok]
+                ok = s >= cosine
+                p, q, s, mine, share = p[ok], q[ok], s[ok], mine[ok], share[ok]
             if len(p):
                 said = [bool(np.isin(m, it.answers[i]).any()) if len(it.answers[i]) else True for m, i in zip(mine, q.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(docs[row[p]]), pa.array(it.ids[q]), pa.array(s), pa.array(share.astype(np.float64)), pa.array(said)], ["doc", "item", "cosine", "lcs", "answered"])
