@@ -1,33 +1,163 @@
-"""Similarity of a query set with each dataset: greedy one-to-one matching of overlapping regions."""
+"""Similarity of a query set with each dataset: greedy one-to-one matching of overlapping regions.
+
+The greedy result within a stretch of a contig hardly depends on what lies far from it. So pairs are placed in coordinate blocks, each
+block is scanned once in greedy order, and what a block can't decide for certain, because a region or query reaches out of what the
+block sees, is left to wider blocks and in the end to rounds of mutually best pairs.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import sys
+
+import pyarrow as pa
+import pyarrow.compute
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from spanloom.functions.tiling import div
 from spanloom.operators.overlap import pair_similarity
-from spanloom.shared import cut
+from spanloom.shared import cut, written
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-def match(candidates: DataFrame) -> DataFrame:
-    """Greedy matching of candidate pairs (ds_idx, q_id, q_start, r_id, r_start, sm), per dataset, greatest ``sm`` first.
+#: Widths of the blocks, one pass for each.
+WIDTHS = (1 << 20, 1 << 25)
+#: Blocks that a region may touch and still be placed in all of them.
+TOUCHED = 4
+#: Pairs of a block beyond which it isn't scanned by one task.
+HOT_PAIRS = 1 << 19
 
-    Ties go to the earlier query, then its id, then the earlier region, then its id. With this strict order the greedy
-    result is that of taking, round by round, all pairs that are best for both their query and their region. A round is two
-    aggregates, combined before their shuffle, so that a query that meets very many regions isn't gathered; what remains
-    is checkpointed. Repeated candidates match once. An empty input gives no rows.
-    """
-    left = candidates.select("ds_idx", "q_id", "q_start", "r_id", "r_start", "sm")
+_COLUMNS = ["ds_idx", "contig", "q_id", "q_start", "q_end", "r_id", "r_start", "r_end", "sm"]
+
+
+def _block(pos: Column, width: int) -> Column:
+    return div(pos - F.pmod(pos, F.lit(width)), width)
+
+
+def _placed(pairs: DataFrame, width: int) -> DataFrame:
+    """The pairs with what blocks they go to: every block that their query touches and every one that their region touches, unless
+    that touches more than TOUCHED. A pair's home is a block that sees all pairs of both, or of the one that isn't so long."""
+    spans = {f"__{s}{i}": c for s in "qr" for i, c in enumerate((_block(F.col(f"{s}_start"), width), _block(F.greatest(f"{s}_start", F.col(f"{s}_end") - 1), width)))}
+    p = pairs.withColumns(spans)
+    q_narrow, r_narrow = (F.col(f"__{s}1") - F.col(f"__{s}0") < TOUCHED for s in "qr")
+    # They overlap, so the blocks of both are neighbours.
+    low = F.when(q_narrow & r_narrow, F.least("__q0", "__r0")).when(q_narrow, F.col("__q0")).when(r_narrow, F.col("__r0"))
+    high = F.when(q_narrow & r_narrow, F.greatest("__q1", "__r1")).when(q_narrow, F.col("__q1")).when(r_narrow, F.col("__r1"))
+    home = F.when(q_narrow & r_narrow, F.greatest("__q0", "__r0")).when(q_narrow, F.col("__q0")).when(r_narrow, F.col("__r0"))
+    return p.withColumns({"__qn": q_narrow, "__rn": r_narrow, "__home": home, "__to": F.sequence(low, high)})
+
+
+def _scan(batches):
+    """Decide the pairs of each block in greedy order. A query or region of which not all pairs are seen (``__qc``, ``__rc``) may be
+    taken by one that isn't, and so may all that then depends on it."""
+    group, of_q, of_r = None, {}, {}
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = [b.column(b.schema.get_field_index(c)) for c in ("ds_idx", "contig", "__block")]
+        changes = pa.compute.equal(key[2].slice(1), key[2].slice(0, b.num_rows - 1))
+        for k in key[:2]:
+            changes = pa.compute.and_(changes, pa.compute.equal(k.slice(1), k.slice(0, b.num_rows - 1)))
+        # Rows are in order by these columns, so a batch begins with the last one's group or a new one.
+        first, last = (tuple(k[i].as_py() for k in key) for i in (0, -1))
+        begins = [first != group, *pa.compute.invert(changes).to_pylist()]
+        group = last
+        columns = [b.column(b.schema.get_field_index(c)).to_pylist() for c in ("q_id", "r_id", "__qc", "__rc")]
+        verdict = []
+        for new, q, r, q_seen, r_seen in zip(begins, *columns, strict=True):
+            if new:
+                of_q, of_r = {}, {}
+            # 0 free, 1 taken, 2 unknown.
+            a, c = of_q.get(q, 0), of_r.get(r, 0)
+            if a == 1 or c == 1:
+                verdict.append(0)
+            elif q_seen and r_seen and not a and not c:
+                of_q[q] = of_r[r] = 1
+                verdict.append(1)
+            else:
+                if q_seen:
+                    of_q[q] = 2
+                if r_seen:
+                    of_r[r] = 2
+                verdict.append(2)
+        out = pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in _COLUMNS), pa.array(verdict, pa.int32())], [*_COLUMNS, "__verdict"])
+        home = b.column(b.schema.get_field_index("__here"))
+        yield out.filter(pa.compute.and_(home, pa.compute.greater(out.column(len(_COLUMNS)), 0)))
+
+
+def _pass(left: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """(taken pairs, pairs left) after all blocks of this width have been scanned."""
+    placed = _placed(left, width)
+    # An outer explode, since for an inner one the optimizer repeats all these expressions in a filter.
+    copies = placed.select(*_COLUMNS, "__q0", "__q1", "__r0", "__r1", "__qn", "__rn", "__home", F.explode_outer("__to").alias("__block")).where("__block IS NOT NULL")
+    hot = written(copies.groupBy("ds_idx", "contig", "__block").agg(F.count("*").alias("__n")).where(F.col("__n") > HOT_PAIRS), "hot")
+    longer = lambda s: F.col(f"{s}_end") - F.col(f"{s}_start") > (TOUCHED - 1) * width
+    alone = _placed(left.where(longer("q") & longer("r")), width).where("NOT __qn AND NOT __rn").select(*_COLUMNS)
+    if not hot.isEmpty():
+        # One row in each HOT_PAIRS pairs at most.
+        mark = hot.select("ds_idx", "contig", "__block", F.lit(True).alias("__hot"))
+        copies = _marked(copies, mark, "__block").where("__hot IS NULL").drop("__hot")
+        at_home = _marked(placed.where("__home IS NOT NULL").select(*_COLUMNS, "__home"), mark.withColumnRenamed("__block", "__home"), "__home")
+        alone = alone.unionByName(at_home.where("__hot").select(*_COLUMNS))
+    seen = lambda s: F.col(f"__{s}n") & F.col("__block").between(F.col(f"__{s}0"), F.col(f"__{s}1"))
+    copies = copies.select(*_COLUMNS, "__block", seen("q").alias("__qc"), seen("r").alias("__rc"), (F.col("__block") == F.col("__home")).alias("__here"))
+    key = ["ds_idx", "contig", "__block"]
+    ordered = copies.repartition(*key).sortWithinPartitions(*key, F.desc("sm"), "q_start", "q_id", "r_start", "r_id")
+    schema = left.select(*_COLUMNS).schema.add("__verdict", T.IntegerType())
+    decided = written(ordered.mapInArrow(_scan, schema), "decided")
+    taken = decided.where("__verdict = 1").drop("__verdict")
+    return taken, _without(decided.where("__verdict = 2").drop("__verdict").unionByName(alone), taken)
+
+
+def _marked(pairs: DataFrame, mark: DataFrame, block: str) -> DataFrame:
+    on = ["ds_idx", "contig", block]
+    return pairs.join(F.broadcast(mark), on, "left") if mark.count() <= 100_000 else pairs.join(mark, on, "left")
+
+
+def _without(left: DataFrame, taken: DataFrame) -> DataFrame:
+    """The pairs of which neither side is taken."""
+    return left.join(taken.select("ds_idx", "q_id"), ["ds_idx", "q_id"], "left_anti").join(taken.select("ds_idx", "r_id"), ["ds_idx", "r_id"], "left_anti").select(*_COLUMNS)
+
+
+def _rounds(left: DataFrame) -> DataFrame | None:
+    """All pairs that are best for both their query and their region, round by round. A round is two aggregates, combined before
+    their shuffle, so that a query that meets very many regions isn't gathered; what remains is checkpointed."""
     done = None
-    while True:
-        of_q = left.groupBy("ds_idx", "q_id", "q_start").agg(F.min(F.struct((-F.col("sm")).alias("m"), "r_start", "r_id")).alias("b"))
-        of_r = left.groupBy("ds_idx", "r_id", "r_start").agg(F.min(F.struct((-F.col("sm")).alias("m"), "q_start", "q_id")).alias("b"))
-        q_side = of_q.select("ds_idx", "q_id", "q_start", F.col("b.r_id").alias("r_id"), F.col("b.r_start").alias("r_start"), (-F.col("b.m")).alias("sm"))
-        taken = cut(q_side.join(of_r.select("ds_idx", "r_id", F.col("b.q_id").alias("q_id")), ["ds_idx", "q_id", "r_id"]))
-        if taken.isEmpty():
-            return taken if done is None else done
+    while not left.isEmpty():
+        of_q = left.groupBy("ds_idx", "q_id").agg(F.min_by(F.struct(*_COLUMNS), F.struct((-F.col("sm")).alias("m"), "r_start", "r_id")).alias("b")).select("b.*")
+        of_r = left.groupBy("ds_idx", "r_id").agg(F.min_by("q_id", F.struct((-F.col("sm")).alias("m"), "q_start", "q_id")).alias("q_id"))
+        taken = cut(of_q.join(of_r, ["ds_idx", "q_id", "r_id"]).select(*_COLUMNS))
         done = taken if done is None else done.unionByName(taken)
-        left = cut(left.join(taken.select("ds_idx", "q_id"), ["ds_idx", "q_id"], "left_anti").join(taken.select("ds_idx", "r_id"), ["ds_idx", "r_id"], "left_anti"))
+        left = cut(_without(left, taken))
+    return done
+
+
+def match(candidates: DataFrame) -> DataFrame:
+    """Greedy matching of candidate pairs (ds_idx, contig, q_id, q_start, q_end, r_id, r_start, r_end, sm), per dataset, greatest
+    ``sm`` first; the matched pairs come back.
+
+    Ties go to the earlier query, then its id, then the earlier region, then its id. Ids must be unique in their tables; pairs with
+    a null in any id or dataset are left out, repeated candidates match once, an empty input gives no rows. A block of a contig
+    holds at most HOT_PAIRS pairs of a dataset in one task; pairs of fuller blocks, and chains that no block decides, are
+    matched by rounds.
+    """
+    left = written(candidates.select(*_COLUMNS).where("ds_idx IS NOT NULL AND q_id IS NOT NULL AND r_id IS NOT NULL"), "candidates")
+    done = []
+    for width in WIDTHS:
+        taken, left = _pass(left, width)
+        left = written(left, "left")
+        done.append(taken)
+        if left.isEmpty():
+            break
+    else:
+        last = _rounds(left)
+        done += [] if last is None else [last]
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def match_sums(queries: DataFrame, intervals: DataFrame, **options) -> DataFrame:

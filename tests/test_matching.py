@@ -2,24 +2,70 @@
 
 import random
 
+import pytest
+
 from spanloom.operators import matching, overlap
 
 R = "r_id long, contig string, start long, end long, value int, ds_idx int"
 Q = "q_id long, contig string, start long, end long"
 
 
+def greedy(pairs):
+    want, used_q, used_r = set(), set(), set()
+    for p in sorted(pairs, key=lambda p: (-p.sm, p.q_start, p.q_id, p.r_start, p.r_id)):
+        if (p.ds_idx, p.q_id) not in used_q and (p.ds_idx, p.r_id) not in used_r:
+            used_q.add((p.ds_idx, p.q_id))
+            used_r.add((p.ds_idx, p.r_id))
+            want.add((p.ds_idx, p.q_id, p.r_id))
+    return want
+
+
+def dense(seed=2, n=60, places=300, long=0):
+    r = random.Random(seed)
+    regions = [(i, "c", s := r.randrange(-20, places), s + r.choice([5, 10, 20]), 1, i % 2) for i in range(n)]
+    queries = [(i, "c", s := r.randrange(places), s + r.choice([0, 5, 10, 40])) for i in range(n // 2)]
+    regions += [(1000 + i, "c", r.randrange(places), places * 2, 1, 0) for i in range(long)]
+    queries += [(1000 + i, "c", 0, r.randrange(1, places * 2)) for i in range(long)]
+    return queries, regions
+
+
+@pytest.mark.parametrize("widths,hot", [((1 << 20, 1 << 25), 1 << 19), ((16, 256), 1 << 19), ((1,), 1 << 19), ((7, 11), 5), ((64,), 0)])
+@pytest.mark.parametrize("long", [0, 6])
+def test_blocks(spark, monkeypatch, widths, hot, long):
+    """The same matches whatever the blocks: regions and queries over borders, over very many blocks, in blocks too full to scan."""
+    monkeypatch.setattr(matching, "WIDTHS", widths)
+    monkeypatch.setattr(matching, "HOT_PAIRS", hot)
+    queries, regions = dense(long=long)
+    pairs = overlap.pair_similarity(spark.createDataFrame(queries, Q), spark.createDataFrame(regions, R), bin_size=16)
+    got = [(x.ds_idx, x.q_id, x.r_id) for x in matching.match(pairs.unionByName(pairs.limit(5))).collect()]
+    assert len(got) == len(set(got)) and set(got) == greedy(pairs.collect())
+
+
+def test_chain(spark, monkeypatch):
+    """A chain in which every pair is beaten by the next is decided in one scan, not in a round for each link."""
+    monkeypatch.setattr(matching, "_rounds", lambda left: 1 / 0)
+    rows = [(i, "c", 100 * i, 100 * i + 101 + i, 1, 0) for i in range(16)]
+    df = spark.createDataFrame(rows, R)
+    q = spark.createDataFrame([(i, "c", 100 * i + 50, 100 * i + 151 + i) for i in range(16)], Q)
+    pairs = overlap.pair_similarity(q, df)
+    assert {(x.ds_idx, x.q_id, x.r_id) for x in matching.match(pairs).collect()} == greedy(pairs.collect())
+
+
+def test_nulls_are_left_out(spark):
+    c = "ds_idx int, contig string, q_id long, q_start long, q_end long, r_id long, r_start long, r_end long, sm float, value int"
+    df = spark.createDataFrame([(None, "c", 1, 1, 5, 1, 1, 5, 1.0, 1), (1, "c", None, 1, 5, 1, 1, 5, 1.0, 1), (1, "c", 1, 1, 5, None, 1, 5, 1.0, 1), (1, "c", 2, 1, 5, 3, 1, 4, 0.75, 1)], c)
+    assert [(x.q_id, x.r_id) for x in matching.match(df).collect()] == [(2, 3)]
+
+
 def test_greedy(spark):
-    r = random.Random(2)
-    regions = [(i, "c", s := r.randrange(300), s + r.choice([5, 10, 20]), 1, i % 2) for i in range(60)]
-    queries = [(i, "c", s := r.randrange(300), s + r.choice([5, 10, 40])) for i in range(30)] + [(98, "c", -4, 9), (99, "c", 9, 4)]
+    queries, regions = dense(5)
+    queries += [(98, "c", -4, 9), (99, "c", 9, 4)]
     q, df = spark.createDataFrame(queries, Q), spark.createDataFrame(regions, R)
     pairs = overlap.pair_similarity(q.where("start >= 0 AND start <= end"), df, bin_size=16).collect()
+    chosen = greedy(pairs)
     want = {}
-    used_q, used_r = set(), set()
-    for p in sorted(pairs, key=lambda p: (-p.sm, p.q_start, p.q_id, p.r_start, p.r_id)):
-        if (p.ds_idx, p.q_id) not in used_q and p.r_id not in used_r:
-            used_q.add((p.ds_idx, p.q_id))
-            used_r.add(p.r_id)
+    for p in pairs:
+        if (p.ds_idx, p.q_id, p.r_id) in chosen:
             s, n = want.get(p.ds_idx, (0.0, 0))
             want[p.ds_idx] = s + p.sm, n + 1
     got = {x.ds_idx: (x.sm_sum, x.n_matched) for x in matching.match_sums(q, df, bin_size=16).collect()}

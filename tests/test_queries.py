@@ -12,9 +12,7 @@ from spanloom import queries as Q
 
 @pytest.mark.parametrize("name", sorted(Q.QUERIES))
 def test_query(spark, name):
-    if name not in Q.SQL:
-        assert Q.QUERIES[name](spark, SF).count() >= 0
-        return
+    assert name in Q.SQL
     _, wrong = differences(spark, Q.QUERIES[name], Q.SQL[name])
     assert not wrong
 
@@ -29,13 +27,13 @@ def test_entry(spark):
 def test_all_orders(spark):
     """Every order queries, whatever its id: hits by brute force."""
     orders = Q.table(spark, SF, "orders").collect()
-    assert len(orders) == Q.all_order_queries(spark, SF).count() > sum(o.o_orderkey % 10 == 0 for o in orders)
+    assert len(orders) == Q.order_queries(spark, SF).count()
     by = {}
     for o in orders:
         start = math.floor(o.o_totalprice * 5)
         by.setdefault(f"chr{o.o_custkey % 50}", []).append((start, start + 200 + o.o_orderkey % 9 * 9000))
     by = {c: np.array(x, np.int64) for c, x in by.items()}
-    for regions, names in ((Q.events_regions, ["count_hits_events_all"]), (Q.line_regions, ["count_hits_lineitem_all", "count_hits_ranked_lineitem_all"])):
+    for regions, names in ((Q.events_regions, ["count_hits_events"]), (Q.line_regions, ["count_hits_lineitem", "count_hits_ranked_lineitem"])):
         want = Counter()
         for r in regions(spark, SF).collect():
             if r.contig in by and r.start < r.end:
