@@ -9,14 +9,18 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.functions.tiling import DEFAULT_BIN, explode_tiles, first_tile, overlaps
+from spanloom.functions.tiling import DEFAULT_BIN, div, explode_tiles, first_tile, overlaps
 from spanloom.plans.strategy import BROADCAST_ROWS, small_side
 from spanloom.schema import QUERIES
 
 
+#: Ranges that a query set is covered by at most, the cells that they are merged from, and the cells' width.
+RANGES, CELLS, CELL = 64, 4096, 1 << 22
+
+
 def stored(intervals: DataFrame) -> DataFrame:
     """Regions that a store keeps: those with start < end. A null value counts as 0."""
     return intervals.where(F.col("start") < F.col("end")).withColumn("value", F.coalesce("value", F.lit(0)))
@@ -36,6 +40,49 @@ def wanted(df: DataFrame, min_value: int) -> DataFrame:
     return df.where(F.col("value") >= min_value)
 
 
+def covering_ranges(queries: DataFrame, ranges: int = RANGES) -> list[tuple[str, int, int]] | None:
+    """At most ``ranges`` stretches (contig, lo, hi), none overlapping another, outside of which no query has a hit: every region
+    that a query meets has start < hi and end > lo of one of them. None where the queries lie in more contigs than that.
+
+    Queries are first brought together by cell or, where these are too many, by contig, so no more than CELLS rows are collected;
+    then the nearest neighbours are merged.
+    """
+    placed = queries.where(F.col("contig").isNotNull() & F.col("start").isNotNull() & F.col("end").isNotNull())
+    found = None
+    for key in ([div(F.col("start"), CELL)], []):
+        found = placed.groupBy("contig", *(k.alias("cell") for k in key)).agg(F.min("start").alias("lo"), F.max("end").alias("hi")).limit(CELLS + 1).collect()
+        if len(found) <= CELLS:
+            break
+    merged: list[list] = []
+    for c, lo, hi in sorted((r.contig, r.lo, r.hi) for r in found):
+        if merged and merged[-1][0] == c and lo <= merged[-1][2]:
+            merged[-1][2] = max(hi, merged[-1][2])
+        else:
+            merged.append([c, lo, max(hi, lo)])
+    if len(found) > CELLS or len({c for c, _, _ in merged}) > ranges:
+        return None
+    gaps = sorted((b[1] - a[2], i) for i, (a, b) in enumerate(zip(merged, merged[1:])) if a[0] == b[0])  # noqa: B905
+    closed = {i for _, i in gaps[: max(0, len(merged) - ranges)]}
+    out: list[list] = []
+    for i, r in enumerate(merged):
+        if i - 1 in closed:
+            out[-1][2] = r[2]
+        else:
+            out.append(r)
+    return [(c, lo, hi) for c, lo, hi in out]
+
+
+def within(ranges: list[tuple[str, int, int]]) -> Column:
+    """The condition that a region lies in one of the ranges; false for none."""
+    met = F.lit(False)
+    for contig in dict.fromkeys(c for c, _, _ in ranges):
+        some = F.lit(False)
+        for _, lo, hi in (r for r in ranges if r[0] == contig):
+            some = some | ((F.col("start") < hi) & (F.col("end") > lo))
+        met = met | ((F.col("contig") == contig) & some)
+    return met
+
+
 def pairs(queries: DataFrame, intervals: DataFrame, bin_size: int = DEFAULT_BIN, min_value: int = 0, compat_empty_first_tile: bool = False, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """All (query, region) pairs that overlap: q_id, q_start, q_end, contig, r_id, r_start, r_end, value, ds_idx.
 
@@ -105,4 +152,4 @@ def pair_similarity(queries: DataFrame, intervals: DataFrame, **options) -> Data
     return found.withColumn("sm", (both.cast("float") / either.cast("float")).cast("float"))
 
 
-__all__ = ["count_hits", "count_hits_dense", "count_hits_per_query", "first_tile", "full_hits", "literal_queries", "pair_similarity", "pairs", "region", "region_counts", "stored"]
+__all__ = ["count_hits", "count_hits_dense", "count_hits_per_query", "first_tile", "full_hits", "literal_queries", "pair_similarity", "covering_ranges", "pairs", "region", "region_counts", "stored", "within"]

@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from spanloom.functions.parsing import END_LIMIT, basename, parse_bed
+from spanloom.plans.strategy import BROADCAST_ROWS, looked_up
+from spanloom.shared import written
+
+#: Files whose ids are broadcast at once; more are read in several parts.
+CATALOGUE = BROADCAST_ROWS
 
 
 def listed(spark: SparkSession, pattern: str) -> list[str]:
@@ -29,7 +34,8 @@ def listed(spark: SparkSession, pattern: str) -> list[str]:
 def _lines(spark: SparkSession, files: list[str]) -> DataFrame:
     if not files:
         return spark.createDataFrame([], "line string, path string, block long")
-    return spark.read.text(files).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+    # Only line feeds end a line; a carriage return before one is cut when the line is parsed.
+    return spark.read.text(files, lineSep="\n").select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
 
 
 def _catalogue(spark: SparkSession, files: list[str]) -> DataFrame:
@@ -39,11 +45,16 @@ def _catalogue(spark: SparkSession, files: list[str]) -> DataFrame:
 
 
 def _rows(spark: SparkSession, files: list[str], strict: bool, with_value: bool) -> tuple[DataFrame, DataFrame]:
-    names = _catalogue(spark, files)
-    parsed = _lines(spark, files).withColumn("p", parse_bed(F.col("line"), strict)).where("p.ok")
-    rows = parsed.join(names.select("ds_idx", "path"), "path")
+    """The lines of all files with their ids, which are broadcast: their number is known here, and lines never move to get them."""
+    names, rows = _catalogue(spark, files), None
     value = [F.col("p.value").alias("value")] if with_value else []
-    return rows.select(F.col("p.contig").alias("contig"), F.col("p.start").alias("start"), F.col("p.end").alias("end"), *value, "ds_idx"), names.select("ds_idx", "file")
+    for k in range(0, max(1, len(files)), CATALOGUE):
+        some = files[k : k + CATALOGUE]
+        ids = F.broadcast(_catalogue(spark, some).select((F.col("ds_idx") + k).alias("ds_idx"), "path"))
+        part = _lines(spark, some).withColumn("p", parse_bed(F.col("line"), strict)).where("p.ok").join(ids, "path")
+        part = part.select(F.col("p.contig").alias("contig"), F.col("p.start").alias("start"), F.col("p.end").alias("end"), *value, "ds_idx")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows, names.select("ds_idx", "file")
 
 
 def read_folder(spark: SparkSession, pattern: str, with_value: bool = True, strict: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -88,9 +99,9 @@ def read_named(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     parsed = _lines(spark, listed(spark, path)).withColumn("at", at).withColumn("p", parse_bed(F.col("line"), False)).where("p.ok AND p.name IS NOT NULL")
     names = parsed.groupBy(F.col("p.name").alias("file")).agg(F.min("at").alias("at"))
     # One row a dataset: the names, not the regions, are numbered in one place.
-    names = names.select((F.row_number().over(W.orderBy("at")) - 1).alias("ds_idx"), "file")
-    rows = parsed.join(names, F.col("p.name") == F.col("file"))
-    return rows.select("p.contig", "p.start", "p.end", "p.value", "ds_idx"), names
+    names = written(names.select((F.row_number().over(W.orderBy("at")) - 1).alias("ds_idx"), "file"), "names")
+    rows = looked_up(parsed.select("p.contig", "p.start", "p.end", "p.value", F.col("p.name").alias("file")), names, ["file"])
+    return rows.select("contig", "start", "end", "value", "ds_idx"), names
 
 
 def read_queries(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:

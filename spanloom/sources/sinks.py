@@ -17,9 +17,76 @@ def read_index_tsv(spark, path: str) -> DataFrame:
     return raw
 
 
-def hit_lines(hits: DataFrame) -> DataFrame:
-    """One line a dataset with hits: id, regions, hits, file; in id order."""
-    return hits.where("n_hits > 0").orderBy("ds_idx").select(F.concat_ws("\t", "ds_idx", "n_regions", "n_hits", "file").alias("value"))
+#: The header lines of the reports and of the index table.
+HITS_HEADER = "index\t number of regions\t number of hits\t File_name"
+SIMILARITY_HEADER = "index\t number of regions\t similarity\t dataset name"
+INDEX_HEADER = "Index\tFile\tNumber of regions\tAvg size"
+
+
+def index_lines(datasets: DataFrame):
+    """The catalogue as lines of a tab-separated table, in id order. A generator over rows, one for each dataset."""
+    yield INDEX_HEADER
+    for r in datasets.select("ds_idx", "file", "n_regions", "avg_size").orderBy("ds_idx").toLocalIterator():
+        yield f"{r.ds_idx}\t{r.file}\t{r.n_regions}\t{float('nan') if r.avg_size is None else r.avg_size:f}"
+
+
+def hit_report(hits: DataFrame):
+    """Datasets with hits, and the total."""
+    yield HITS_HEADER
+    total = 0
+    for r in hits.where("n_hits > 0").orderBy("ds_idx").toLocalIterator():
+        yield f"{r.ds_idx}\t{r.n_regions}\t{r.n_hits}\t{r.file}"
+        total += r.n_hits
+    yield f"Total: {total}"
+
+
+def region_report(hits: DataFrame):
+    """All datasets with their hits of one region."""
+    yield HITS_HEADER
+    for r in hits.orderBy("ds_idx").toLocalIterator():
+        yield f"{r.ds_idx}\t{r.n_regions}\t{r.n_hits}\t{r.file}"
+
+
+def similarity_report(similarity: DataFrame):
+    yield SIMILARITY_HEADER
+    for r in similarity.orderBy("ds_idx").toLocalIterator():
+        yield f"{r.ds_idx}\t{r.n_regions}\t{r.similarity:10.6f}\t{r.file}"
+
+
+def full_report(queries: DataFrame, contigs: DataFrame, hits: DataFrame):
+    """Every query of a known contig and its hits, numbered, by start; then their number. A generator over rows, sorted by Spark."""
+    known = queries.join(contigs.select("contig"), "contig", "left_semi").select("q_id", "contig", F.col("start").alias("q_start"), F.col("end").alias("q_end"))
+    rows = known.join(hits.select("q_id", "r_start", "r_end", "file", "ds_idx"), "q_id", "left").orderBy("q_id", "r_start", "r_end", "ds_idx")
+    at, i, total = None, 0, 0
+    for r in rows.toLocalIterator():
+        if r.q_id != at:
+            yield f"Query {r.contig}, {r.q_start}, {r.q_end}: "
+            at, i = r.q_id, 0
+        if r.r_start is not None:
+            yield f"{i}\t {r.r_start}\t {r.r_end}\t {r.file}"
+            i, total = i + 1, total + 1
+    yield f"Total overlaps: {total}"
+
+
+def write_files(lines: DataFrame, folder: str, file: str = "file", order: str = "line_no", line: str = "line") -> None:
+    """One text file for each name in ``file``, its lines in ``order``. Rows with a null in any of them are left out.
+
+    A file is written by one task, as lines in order must be.
+    """
+    spark = lines.sparkSession
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = f"{folder.rstrip('/')}.parts"
+    rows = lines.where(F.col(file).isNotNull() & F.col(order).isNotNull() & F.col(line).isNotNull())
+    rows.repartition(F.col(file)).sortWithinPartitions(file, order).select(F.col(file).alias("__file"), F.col(line).alias("value")).write.partitionBy("__file").text(parts, lineSep="\n")
+    fs.mkdirs(path)
+    for d in fs.listStatus(jvm.org.apache.hadoop.fs.Path(parts)):
+        if d.isDirectory():
+            name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(d.getPath().getName().partition("=")[2])
+            for part in fs.listStatus(d.getPath()):
+                fs.rename(part.getPath(), jvm.org.apache.hadoop.fs.Path(path, name))
+    fs.delete(jvm.org.apache.hadoop.fs.Path(parts), True)
 
 
 def matrix_lines(matrix: DataFrame, n: int, value_above: int):

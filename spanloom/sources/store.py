@@ -2,11 +2,15 @@
 
 Clustering by range instead of one folder per contig keeps both ends healthy: a contig that holds a third of all rows is
 spread over many files, and hundreds of small contigs share one. Row groups carry the bounds of contig and start, so a
-region search reads only what it needs.
+region search reads only what it needs, and so does a set of queries: it is covered by a bounded number of ranges, which are filters
+of the scan.
 """
 
 from __future__ import annotations
 
+import json
+import os
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +18,7 @@ from pyspark.sql import functions as F
 from spanloom.functions.tiling import DEFAULT_BIN
 from spanloom.operators import matching, matrix, overlap, stats
 from spanloom.shared import written
+from spanloom.sources import sinks, tilefile
 
 
 class IntervalStore:
@@ -43,9 +48,20 @@ class IntervalStore:
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> IntervalStore:
+        """The store at ``path``: a folder that :meth:`create` wrote, or a file of the binary layout beside its index table."""
+        if os.path.isfile(path.removeprefix("file://")):
+            return TileStore(spark, path)
         meta = spark.read.parquet(f"{path}/meta").head()
         return cls(spark, path, meta.bin_size, meta.has_value)
 
+    def save_file(self, path: str) -> TileStore:
+        """Write the store as one file of the binary layout and its index table; refuses to overwrite."""
+        path = path.removeprefix("file://")
+        tilefile.write(self.intervals, path, self.bin_size)
+        with open(TileStore.index_of(path), "x") as f:
+            f.writelines(line + "\n" for line in sinks.index_lines(self.datasets))
+        return TileStore(self.spark, path)
+
     @property
     def intervals(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/intervals")
@@ -70,16 +86,32 @@ class IntervalStore:
     def contig_id(self, name: str) -> int:
         return stats.contig_id(self.contigs, name)
 
+    def inside(self, ranges: list[tuple[str, int, int]]) -> DataFrame:
+        """The stored regions that meet one of the ranges; the ranges reach the scan."""
+        return self.intervals.where(overlap.within(ranges))
+
+    def near(self, queries: DataFrame) -> DataFrame:
+        """The stored regions that ``queries`` may meet. Queries are counted first; a stream's can't be, and read all."""
+        ranges = None if queries.isStreaming else overlap.covering_ranges(queries)
+        return self.intervals if ranges is None else self.inside(ranges)
+
     def pairs(self, queries: DataFrame, min_value: int = 0, compat_empty_first_tile: bool = False) -> DataFrame:
-        return overlap.pairs(queries, self.intervals, bin_size=self.bin_size, min_value=min_value, compat_empty_first_tile=compat_empty_first_tile)
+        # Whether a query's first tile is empty shows in regions that it doesn't meet.
+        stored = self.intervals if compat_empty_first_tile else self.near(queries)
+        if min_value > 0 and not self.has_value:
+            raise ValueError("a score threshold needs a store with values")
+        return overlap.pairs(queries, stored, bin_size=self.bin_size, min_value=min_value, compat_empty_first_tile=compat_empty_first_tile)
 
     def full_hits(self, queries: DataFrame) -> DataFrame:
         return self.pairs(queries).join(self.datasets.select("ds_idx", "file"), "ds_idx", "left")
 
     def count_hits(self, queries: DataFrame, min_value: int = 0, compat_empty_first_tile: bool = False) -> DataFrame:
         """(ds_idx, file, n_regions, n_hits) of all datasets."""
-        hits = self.pairs(queries, min_value, compat_empty_first_tile).groupBy("ds_idx").agg(F.count("*").alias("n_hits"))
-        return self.datasets.join(hits, "ds_idx", "left").select("ds_idx", "file", "n_regions", F.coalesce("n_hits", F.lit(0)).alias("n_hits"))
+        return self._counted(self.pairs(queries, min_value, compat_empty_first_tile))
+
+    def _counted(self, hits: DataFrame) -> DataFrame:
+        n = hits.groupBy("ds_idx").agg(F.count("*").alias("n_hits"))
+        return self.datasets.join(n, "ds_idx", "left").select("ds_idx", "file", "n_regions", F.coalesce("n_hits", F.lit(0)).alias("n_hits"))
 
     def hit_vector(self, queries: DataFrame, into: np.ndarray | None = None, min_value: int = 0) -> np.ndarray:
         """Hits as a vector with a place for every dataset, added to ``into`` if given; its sum is the number of hits."""
@@ -89,8 +121,8 @@ class IntervalStore:
         return out
 
     def search(self, contig: str, start: int, end: int, min_value: int = 0) -> DataFrame:
-        """(ds_idx, file, n_hits) of one region, all datasets."""
-        return overlap.region_counts(self.intervals, self.datasets, contig, start, end, min_value)
+        """(ds_idx, file, n_regions, n_hits) of one region, all datasets."""
+        return self._counted(overlap.wanted(self.region(contig, start, end), min_value if self.has_value else 0))
 
     def region(self, contig: str, start: int, end: int) -> DataFrame:
         return overlap.region(self.intervals, contig, start, end)
@@ -103,7 +135,7 @@ class IntervalStore:
     def similarity(self, queries: DataFrame) -> DataFrame:
         """(ds_idx, file, n_regions, similarity) of all datasets."""
         kept = queries.where((F.col("start") >= 0) & (F.col("start") <= F.col("end")))
-        sums = matching.match_sums(kept, self.intervals, bin_size=self.bin_size)
+        sums = matching.match_sums(kept, self.near(kept), bin_size=self.bin_size)
         s, n_q = F.coalesce("sm_sum", F.lit(0.0)), kept.count()
         rate = s / F.nullif(F.lit(n_q) + F.col("n_regions") - s, F.lit(0.0))
         return self.datasets.join(sums, "ds_idx", "left").select("ds_idx", "file", "n_regions", F.coalesce(rate, F.lit(0.0)).alias("similarity"))
@@ -121,9 +153,53 @@ class IntervalStore:
         name = self._named(contig_number)
         if name is None or bin_number < 1 or bin_number > self.contigs.where(F.col("contig") == name).head().n_tiles:
             return None
-        return stats.bin_data(self.intervals, name, bin_number - 1, self.bin_size)
+        # Tile 0 holds what begins before it as well.
+        low = (bin_number - 1) * self.bin_size if bin_number > 1 else -(1 << 62)
+        return stats.bin_data(self.inside([(name, low, bin_number * self.bin_size)]), name, bin_number - 1, self.bin_size)
 
     def tile_histogram(self) -> DataFrame:
         return stats.tile_histogram(self.intervals, self.bin_size)
 
 
+class TileStore(IntervalStore):
+    """A store in one file of the binary layout, with the table of its datasets in ``<name>_index.tsv``.
+
+    The file is opened by every task, so it must lie where all executors see it. Searches read only the tiles of their ranges.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        tilefile.register(spark)
+        path = path.removeprefix("file://")
+        self.header = tilefile.header(path)
+        super().__init__(spark, path, self.header["bin_size"], self.header["has_value"])
+
+    @staticmethod
+    def index_of(path: str) -> str:
+        return os.path.splitext(path)[0] + "_index.tsv"
+
+    def _read(self, **options: str) -> DataFrame:
+        df = self.spark.read.format("tilefile").options(**options).load(self.path)
+        return df if self.has_value else df.drop("value")
+
+    @property
+    def intervals(self) -> DataFrame:
+        return self._read().drop("tile")
+
+    @property
+    def datasets(self) -> DataFrame:
+        table = sinks.read_index_tsv(self.spark, "file://" + self.index_of(self.path))
+        return table.select("ds_idx", "file", "n_regions", "avg_size")
+
+    @property
+    def contigs(self) -> DataFrame:
+        rows = [(i, c, int(n)) for i, (c, n) in enumerate(zip(self.header["contigs"], self.header["tiles"], strict=True))]
+        return self.spark.createDataFrame(rows, "contig_id int, contig string, n_tiles long")
+
+    def inside(self, ranges: list[tuple[str, int, int]]) -> DataFrame:
+        return self._read(ranges=json.dumps(ranges)).drop("tile").where(overlap.within(ranges))
+
+    def region(self, contig: str, start: int, end: int) -> DataFrame:
+        return overlap.region(self.inside([(contig, start, max(start, end))]), contig, start, end)
+
+
+__all__ = ["IntervalStore", "TileStore"]

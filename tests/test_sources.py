@@ -1,10 +1,13 @@
 """Reading region files, the store, the binary layout and the command line."""
 
 import gzip
+import random
 
 import pytest
 
 from spanloom import cli
+from spanloom.operators import overlap
+from spanloom.plans import strategy
 from spanloom.sources import bed, sinks, tilefile
 from spanloom.sources.store import IntervalStore
 
@@ -75,6 +78,110 @@ def test_store(spark, folder):
     assert sinks.read_index_tsv(spark, f"{folder}/index").count() == 4
 
 
+def test_many_files(spark, folder, monkeypatch):
+    """More files than are broadcast at once, and no shuffle of lines by file or name."""
+    whole = sorted(map(tuple, bed.read_folder(spark, f"{folder}/in/*")[0].collect()))
+    monkeypatch.setattr(bed, "CATALOGUE", 1)
+    rows, _ = bed.read_folder(spark, f"{folder}/in/*")
+    assert sorted(map(tuple, rows.collect())) == whole and strategy.exchanges(rows) == 0
+    (folder / "n.bed").write_text("".join(f"chr1\t{i}\t{i + 5}\tname{i % 3}\t7\n" for i in range(50)))
+    rows, _ = bed.read_named(spark, f"{folder}/n.bed")
+    assert rows.count() == 50 and strategy.exchanges(rows) == 0
+
+
+def test_carriage_returns(spark, tmp_path):
+    (tmp_path / "r.bed").write_bytes(b"chr1\t1\t2\tn\t3\r\nchr1\t4\t5\ta\rb\t6\nchr1\t7\t8\r\n")
+    rows, _ = bed.read_folder(spark, f"{tmp_path}/r.bed")
+    assert sorted(map(tuple, rows.collect())) == [("chr1", 1, 2, 3, 0), ("chr1", 4, 5, 6, 0), ("chr1", 7, 8, 0, 0)]
+
+
+def brute(regions, queries):
+    return sorted((q.q_id, r.contig, r.start, r.end, r.ds_idx) for r in regions for q in queries if q.contig == r.contig and r.start < q.end and r.end > q.start)
+
+
+def far(seed=1):
+    r = random.Random(seed)
+    regions = [(r.choice(["chr1", "chr2", "chr3"]), s := r.randrange(-50, 2_000_000), s + r.choice([0, 5, 900, 40_000, 900_000]), 1, r.randrange(3)) for _ in range(600)]
+    queries = [(i, r.choice(["chr1", "chr2", "none"]), s := r.choice([0, 300_000, 310_000, 1_200_000]) + r.randrange(-30, 3000), s + r.choice([-3, 0, 7, 20_000])) for i in range(40)]
+    return regions, queries + [(98, None, 1, 2), (99, "chr1", None, 2)]
+
+
+@pytest.mark.parametrize("ranges", [1, 2, 3, 64])
+def test_pruned_search(spark, tmp_path, monkeypatch, ranges):
+    """Searches by query sets read only what lies near the queries, in both layouts, and lose nothing."""
+    regions, queries = far()
+    rows = spark.createDataFrame(regions, "contig string, start long, end long, value int, ds_idx int")
+    q = spark.createDataFrame(queries, "q_id long, contig string, start long, end long")
+    names = spark.createDataFrame([(i, f"f{i}") for i in range(3)], "ds_idx int, file string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    monkeypatch.setattr(overlap, "RANGES", ranges)
+    monkeypatch.setattr(overlap.covering_ranges, "__defaults__", (ranges,))
+    try:
+        s = IntervalStore.create(spark, f"{tmp_path}/store", rows, names)
+        f = s.save_file(f"{tmp_path}/tiles.bin")
+        want = brute([r for r in rows.collect() if r.start < r.end], [x for x in q.collect() if x.contig and x.start is not None])
+        found = overlap.covering_ranges(q)
+        assert (found is None) == (ranges < 3) and (found is None or len(found) <= ranges)
+        for store in (s, f):
+            pairs = store.pairs(q)
+            assert sorted((x.q_id, x.contig, x.r_start, x.r_end, x.ds_idx) for x in pairs.collect()) == want
+            assert {x.ds_idx: x.n_hits for x in store.count_hits(q).collect()} == {d: sum(x[4] == d for x in want) for d in range(3)}
+            for c, lo, hi in (("chr1", 300_000, 301_000), ("chr2", 5, 5), ("none", 1, 2), ("chr1", -100, 10)):
+                mine = sorted((r.contig, r.start, r.end, r.ds_idx) for r in store.region(c, lo, hi).collect())
+                assert mine == sorted((r.contig, r.start, r.end, r.ds_idx) for r in rows.collect() if r.contig == c and r.start < r.end and r.start < hi and r.end > lo)
+            one = {x.ds_idx: x.similarity for x in store.similarity(q.where("start >= 0")).collect()}
+            assert all(0 <= v <= 1 for v in one.values()) and sum(one.values()) > 0
+        assert s.bin_len(1, 1) == f.bin_len(1, 1) and s.bin_len(1, 60) == f.bin_len(1, 60) > 0 and s.n_contigs == f.n_contigs == 3 and f.n_datasets == 3
+        near = q.where("contig = 'chr1' AND start > 1000000")
+        pairs = s.pairs(near)
+        if ranges > 1:
+            assert "EqualTo(contig,chr1)" in strategy.pushed_filters(pairs) and "LessThan(start" in strategy.pushed_filters(pairs)
+            few, every = scanned(s.near(near)), scanned(s.intervals)
+            assert few < 0.7 * every and scanned(s.near(q)) <= every
+            assert sum(1 for _ in tile_parts(f, near)) >= 1 and tile_rows(f, near) < 0.7 * f.intervals.count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def scanned(df):
+    """Rows that leave the file scan, after row groups have been skipped."""
+    plan = df._jdf.queryExecution().executedPlan()
+    df._jdf.queryExecution().toRdd().count()
+    leaf = plan.collectLeaves().head()
+    return leaf.metrics().apply("numOutputRows").value()
+
+
+def tile_parts(store, queries):
+    r = tilefile._Reader(store.path, False, overlap.covering_ranges(queries))
+    return r.partitions()
+
+
+def tile_rows(store, queries):
+    r = tilefile._Reader(store.path, False, overlap.covering_ranges(queries))
+    return sum(b.num_rows for p in r.partitions() for b in r.read(p))
+
+
+def test_names_too_long(spark, tmp_path):
+    one = spark.createDataFrame([("chr" + "x" * 36, 1, 5, 0), ("chr" + "y" * 35, 1, 5, 0)], "contig string, start long, end long, ds_idx int")
+    tilefile.register(spark)
+    tilefile.write(one, f"{tmp_path}/a.bin")
+    assert {r.contig for r in spark.read.format("tilefile").load(f"{tmp_path}/a.bin").collect()} == {r.contig for r in one.collect()}
+    for name in ("chr" + "x" * 37, "chr" + "ü" * 19):
+        with pytest.raises(ValueError):
+            tilefile.write(spark.createDataFrame([(name, 1, 5, 0)], one.schema), f"{tmp_path}/b.bin")
+
+
+def test_hot_tile(spark, tmp_path):
+    """One tile with nearly all records is written by several tasks, in order."""
+    rows = spark.range(0, 30000, numPartitions=6).selectExpr("'chr1' contig", "id * 7919 % 16000 start", "id * 7919 % 16000 + 1 + id % 9 end", "cast(id % 5 as int) ds_idx")
+    tilefile.register(spark)
+    tilefile.write(rows, f"{tmp_path}/hot.bin")
+    back = spark.read.format("tilefile").load(f"{tmp_path}/hot.bin")
+    assert sorted(map(tuple, back.select("start", "end", "ds_idx").collect())) == sorted(map(tuple, rows.select("start", "end", "ds_idx").collect()))
+    starts = [r.start for r in back.orderBy("r_id").collect()]
+    assert starts == sorted(starts)
+
+
 def test_binary(spark, folder):
     rows, _ = bed.read_folder(spark, f"{folder}/in/*")
     tilefile.register(spark)
@@ -100,7 +207,14 @@ def test_command_line(spark, folder, capsys):
         (["-q", f"{folder}/q.bed", "-v", "6"], "Total: 1"),
         (["-q", f"{folder}/q.bed", "-f"], "Total overlaps: 3"),
         (["-q", f"{folder}/q.bed", "-s"], "0.0"),
-        (["-r", "chr1", "150", "160"], "0\t2\ta 1.bed"),
+        (["-r", "chr1", "150", "160"], "0\t4\t2\ta 1.bed\n1\t3\t1\tb.bed.gz\n2\t2\t0\tc.bed\n3\t0\t0\td.bed\n"),
+        (["-m", "-q", f"{folder}/q.bed"], "Total: 3"),
+        (["-s", "-q", f"{folder}/q.bed"], "Total: 3"),
+        (["-q", f"{folder}/q.bed", "-r", "chr1", "150", "160", "-s"], "3\t0\t0\td.bed"),
+        (["-m", "-f"], "Not supported -f option"),
+        (["-q", f"{folder}/q.bed", "-s"], "similarity\t dataset name"),
+        (["-q", f"{folder}/q.bed"], "number of hits\t File_name"),
+        (["-q", f"{folder}/q.bed", "-f"], "Query chr1, 150, 160: \n0\t 10\t 70000\t b.bed.gz\n1\t 100\t 200\t a 1.bed"),
         (["-r", "chr1", "150", "160", "-f"], "Total overlaps: 3"),
     ):
         cli.main(["search", f"{folder}/db", *flags])
