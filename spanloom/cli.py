@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.tiling import BIN_POWERS, DEFAULT_BIN
 from spanloom.operators import overlap
+from spanloom.shared import scope
 from spanloom.sources import bed, sinks
 from spanloom.sources.store import IntervalStore
 
@@ -112,8 +113,9 @@ def lines(spark: SparkSession, argv: list[str]) -> Iterator[str]:
 
 
 def main(argv: list[str] | None = None) -> None:
-    for line in lines(SparkSession.builder.appName("spanloom").getOrCreate(), sys.argv[1:] if argv is None else argv):
-        print(line)
+    with scope():
+        for line in lines(SparkSession.builder.appName("spanloom").getOrCreate(), sys.argv[1:] if argv is None else argv):
+            print(line)
 
 
 if __name__ == "__main__":

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from spanloom.functions.tiling import div
 from spanloom.operators.overlap import pair_similarity
-from spanloom.shared import cut, written
+from spanloom.shared import cut, release, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -146,8 +146,10 @@ def match(candidates: DataFrame) -> DataFrame:
     left = written(candidates.select(*_COLUMNS).where("ds_idx IS NOT NULL AND q_id IS NOT NULL AND r_id IS NOT NULL"), "candidates")
     done = []
     for width in WIDTHS:
-        taken, left = _pass(left, width)
+        before = left
+        taken, left = _pass(before, width)
         left = written(left, "left")
+        release(before)
         done.append(taken)
         if left.isEmpty():
             break

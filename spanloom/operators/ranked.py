@@ -16,11 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from spanloom.functions.tiling import DEFAULT_BIN
+from spanloom.functions.tiling import DEFAULT_BIN, explode_tiles
 from spanloom.operators.overlap import count_hits, wanted
+from spanloom.shared import written
 
-#: Datasets up to which a matrix is counted by ranks: a running count is kept for each.
+#: Datasets that a pass counts a matrix's columns for: a running count is kept for each.
 DATASETS = 64
+#: Pairs a row, of a join by tile, above which ranks are the shorter way: where the two took about as long.
+DENSE = 200
 
 #: Order of the marks at one place: regions' ends, queries' boundaries, regions' starts.
 _END, _QUERY, _START = 0, 1, 2
@@ -57,38 +60,60 @@ def count_hits_ranked(queries: DataFrame, intervals: DataFrame, min_value: int =
     return both.groupBy("ds_idx").agg(F.sum("n_hits").alias("n_hits")).where("n_hits > 0")
 
 
+def meetings(queries: DataFrame, intervals: DataFrame, bin_size: int = DEFAULT_BIN) -> tuple[int, int]:
+    """(pairs that a join by tile would look at, rows that it would move), from both sides' tile histograms."""
+    placed = F.col("contig").isNotNull()
+    q = explode_tiles(queries.where(placed).select("contig", "start", "end"), bin_size).groupBy("contig", "tile").agg(F.count("*").alias("nq"))
+    r = explode_tiles(intervals.where(placed & (F.col("start") < F.col("end"))).select("contig", "start", "end"), bin_size).groupBy("contig", "tile").agg(F.count("*").alias("nr"))
+    n = q.join(r, ["contig", "tile"], "full").agg(F.sum(F.col("nq").cast("double") * F.col("nr")), F.sum(F.coalesce("nq", F.lit(0)) + F.coalesce("nr", F.lit(0)))).first()
+    return int(n[0] or 0), int(n[1] or 0)
+
+
+def count_hits_chosen(queries: DataFrame, intervals: DataFrame, min_value: int = 0, bin_size: int = DEFAULT_BIN, dense: int = DENSE) -> DataFrame:
+    """(ds_idx, n_hits): by the join where its tiles hold few pairs for their rows, by ranks where they hold more than ``dense`` a
+    row, so that the work stays in proportion to the rows at hot places. Both count the same."""
+    pairs, rows = meetings(queries, wanted(intervals, min_value), bin_size)
+    if pairs > dense * rows:
+        return count_hits_ranked(queries, intervals, min_value, bin_size)
+    return count_hits(queries, intervals, min_value=min_value, bin_size=bin_size)
+
+
 def hit_matrix_ranked(intervals: DataFrame, value_above: int = 0, block: int = DEFAULT_BIN) -> DataFrame:
-    """(ds_a, ds_b, n): as :func:`spanloom.operators.matrix.hit_matrix`, by ranks, for at most DATASETS datasets.
+    """(ds_a, ds_b, n): as :func:`spanloom.operators.matrix.hit_matrix`, by ranks.
 
     Every boundary is met with the running counts of all datasets' boundaries, so the work grows with rows times datasets and
-    not with overlaps. Nulls in contig, start or end match nothing; rows of a null dataset are left out. More datasets raise a
-    ValueError: their overlaps are better met by tile.
+    not with overlaps. A pass counts DATASETS columns of the matrix; more datasets take more passes over the collapsed boundaries.
+    Nulls in contig, start or end match nothing; rows of a null dataset are left out. The driver holds the datasets' ids.
     """
     r = intervals.where(F.col("contig").isNotNull() & F.col("ds_idx").isNotNull() & (F.col("start") < F.col("end")))
     if value_above > 0:
         r = r.where(F.col("value") > value_above)
-    names = [x[0] for x in r.select("ds_idx").distinct().limit(DATASETS + 1).collect()]
-    if len(names) > DATASETS:
-        raise ValueError(f"more than {DATASETS} datasets")
-    names.sort()
-    if not names:
-        return r.select(F.col("ds_idx").alias("ds_a"), F.col("ds_idx").alias("ds_b"), F.lit(0).cast("long").alias("n"))
     own = _marks(r, ["ds_idx"], [F.lit(_START).alias("kind")], [F.lit(_END).alias("kind")]).groupBy("contig", "pos", "kind", "ds_idx").agg(F.count("*").alias("n"))
-    own = own.withColumn("block", F.call_function("div", F.col("pos") - F.pmod("pos", F.lit(block)), F.lit(block)))
-    # Each mark is looked at, and counts for what looks from behind it: ends look at starts before them, starts at ends up to them.
+    own = written(own.withColumn("block", F.call_function("div", F.col("pos") - F.pmod("pos", F.lit(block)), F.lit(block))), "marks")
+    names = sorted(x[0] for x in own.select("ds_idx").distinct().toLocalIterator())
+    out = r.select(F.col("ds_idx").alias("ds_a"), F.col("ds_idx").alias("ds_b"), F.lit(0).cast("long").alias("n")).limit(0)
+    for k in range(0, len(names), DATASETS):
+        part = _columns(own, names[k : k + DATASETS])
+        out = part if k == 0 else out.unionByName(part)
+    return out
+
+
+def _columns(own: DataFrame, names: list) -> DataFrame:
+    """The matrix's cells with ds_b among ``names``."""
+    # Each mark is looked at, and those of the named datasets count for what looks from behind them: ends look at starts before
+    # them, starts at ends up to them.
     looks = own.select("contig", "block", "pos", "kind", "ds_idx", "n", F.lit(0).cast("long").alias("c"), F.lit(None).cast("int").alias("side"))
-    seen = own.select("contig", "block", "pos", F.lit(_QUERY).alias("kind"), "ds_idx", F.lit(0).cast("long").alias("n"), F.col("n").alias("c"), F.col("kind").alias("side"))
+    counted = own.where(F.col("ds_idx").between(names[0], names[-1]))
+    seen = counted.select("contig", "block", "pos", F.lit(_QUERY).alias("kind"), "ds_idx", F.lit(0).cast("long").alias("n"), F.col("n").alias("c"), F.col("kind").alias("side"))
     marks = looks.unionByName(seen)
-    of = {(i, side): F.coalesce(F.sum(F.when((F.col("ds_idx") == F.lit(d)) & (F.col("side") == side), F.col("c"))), F.lit(0)) for i, d in enumerate(names) for side in (_START, _END)}
-    per_block = marks.groupBy("contig", "block").agg(*(c.alias(f"b{i}_{side}") for (i, side), c in of.items()))
+    of = {(i, side): F.sum(F.when((F.col("ds_idx") == F.lit(d)) & (F.col("side") == side), F.col("c"))) for i, d in enumerate(names) for side in (_START, _END)}
+    per_block = marks.groupBy("contig", "block").agg(*(F.coalesce(c, F.lit(0)).alias(f"b{i}_{side}") for (i, side), c in of.items()))
     before = W.partitionBy("contig").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     offsets = per_block.select("contig", "block", *(F.coalesce(F.sum(f"b{i}_{side}").over(before), F.lit(0)).alias(f"o{i}_{side}") for i, side in of))
     upto = W.partitionBy("contig", "block").orderBy("pos", "kind").rowsBetween(W.unboundedPreceding, 0)
-    inside = {
-        (i, side): F.coalesce(F.sum(F.when((F.col("ds_idx") == F.lit(d)) & (F.col("side") == side), F.col("c"))).over(upto), F.lit(0)) for i, d in enumerate(names) for side in (_START, _END)
-    }
-    ranked = marks.select("*", *(c.alias(f"r{i}_{side}") for (i, side), c in inside.items())).where(F.col("kind") != _QUERY).join(offsets, ["contig", "block"])
+    inside = (F.coalesce(c.over(upto), F.lit(0)).alias(f"r{i}_{side}") for (i, side), c in of.items())
+    ranked = marks.select("*", *inside).where(F.col("kind") != _QUERY).join(offsets, ["contig", "block"])
     part = lambda i: F.when(F.col("kind") == _END, F.col(f"o{i}_{_START}") + F.col(f"r{i}_{_START}")).otherwise(-(F.col(f"o{i}_{_END}") + F.col(f"r{i}_{_END}")))
     rows = ranked.groupBy(F.col("ds_idx").alias("ds_a")).agg(*(F.sum(part(i) * F.col("n")).alias(f"n{i}") for i in range(len(names))))
-    cells = F.array(*(F.struct(F.lit(d).cast(r.schema["ds_idx"].dataType).alias("ds_b"), F.col(f"n{i}").alias("n")) for i, d in enumerate(names)))
+    cells = F.array(*(F.struct(F.lit(d).cast(own.schema["ds_idx"].dataType).alias("ds_b"), F.col(f"n{i}").alias("n")) for i, d in enumerate(names)))
     return rows.select("ds_a", F.inline(cells)).where("n > 0")

@@ -170,6 +170,18 @@ def count_hits_ranked(spark, d):
     return ranked.count_hits_ranked(_q(spark, d), _r(spark, d))
 
 
+@_query(f"WITH r AS ({_LINES}), q AS ({_ORDERS}) SELECT ds_idx, count(*) AS n_hits FROM q JOIN r ON {_ON} GROUP BY 1")
+def count_hits_chosen(spark, d):
+    """By the join or by ranks, as the tiles' counts say."""
+    return ranked.count_hits_chosen(order_queries(spark, d), line_regions(spark, d))
+
+
+@_query(f"WITH {_R} SELECT a.ds_idx AS ds_a, b.ds_idx AS ds_b, count(*) AS n FROM r AS a JOIN r AS b ON a.contig = b.contig AND a.rs < b.re AND a.re > b.rs GROUP BY 1, 2")
+def hit_matrix_ranked_many(spark, d):
+    """More datasets than one pass counts."""
+    return ranked.hit_matrix_ranked(_r(spark, d))
+
+
 @_query(f"WITH r AS ({_LINES}), q AS ({_ORDERS}) SELECT ds_idx, count(*) AS n_hits FROM q JOIN r ON {_ON} GROUP BY 1")
 def count_hits_ranked_lineitem(spark, d):
     return ranked.count_hits_ranked(order_queries(spark, d), line_regions(spark, d))
@@ -367,7 +379,7 @@ def range_guard(spark, d):
     return table(spark, d, "intervals").where(f"start >= 0 AND end < {END_LIMIT}").select("r_id")
 
 
-# A leading integer, cut to 18 digits so that no engine overflows; longer ones count as 0 in both.
+# A leading integer; one that 64 bits can't hold counts as 0 in both engines.
 def _int_sql(field: str) -> str:
     return f"coalesce(TRY_CAST(regexp_extract({field}, '^[ \\t\\n\\x0B\\f\\r]*([+-]?[0-9]+)', 1) AS BIGINT), 0)"
 
@@ -448,6 +460,20 @@ def p3_periods(spark, d):
     return periods.periods(table(spark, d, "intervals"), ["ds_idx", "contig"])
 
 
+@_query(f"WITH {_RUNS} SELECT ds_idx, contig, reach AS gap_start, s AS gap_end FROM m WHERE s > reach")
+def gaps_by_blocks(spark, d):
+    """The way of entities above ``hot_rows``, taken here by all of more than a few rows."""
+    return periods.gaps(table(spark, d, "intervals"), ["ds_idx", "contig"], hot_rows=5)
+
+
+@_query(
+    f"""WITH {_RUNS}, g AS (SELECT *, sum((s > reach OR reach IS NULL)::int) OVER (PARTITION BY ds_idx, contig ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM m)
+SELECT ds_idx, contig, min(s) AS period_start, max(e) AS period_end FROM g GROUP BY ds_idx, contig, g"""
+)
+def periods_by_blocks(spark, d):
+    return periods.periods(table(spark, d, "intervals"), ["ds_idx", "contig"], hot_rows=5)
+
+
 _FIELD = '(?:"(?:[^"]|"")*"|[^"\\t]*)'
 _LINES_SQL = rf"""t AS (SELECT line_id, regexp_replace(line, '\r\z', '') AS x FROM bed_lines),
 l AS (SELECT *, regexp_full_match(x, '(?s){_FIELD}(?:\t{_FIELD})*') AS quoted FROM t

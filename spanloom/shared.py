@@ -1,4 +1,8 @@
-"""Places and cuts that survive the loss of executors."""
+"""Places and cuts that survive the loss of executors.
+
+Tables that a lazy result still reads can't be removed when an operator returns. What an operator has used up it releases itself; the
+rest goes when the enclosing :func:`scope` ends, or with the session.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +10,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_WRITTEN: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,15 +50,49 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spanloom-{name}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_remove, 0)
+    _WRITTEN[path] = spark
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._spanloom_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove written tables that nothing reads any more."""
+    for t in tables:
+        _delete(t._spanloom_path)
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """All tables written inside are removed at its end. Results must have been taken or written elsewhere by then."""
+    began = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        _remove(began)
+
+
+def _remove(began: int) -> None:
+    for path in list(_WRITTEN)[began:]:
+        _delete(path)
+
+
+def _delete(path: str) -> None:
+    _drop(_WRITTEN.pop(path, None), path)
+
+
+def removed_at_exit(spark: SparkSession, path: str) -> str:
+    """``path``, which goes with the session and not with a scope."""
+    atexit.register(_drop, spark, path)
+    return path
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def _drop(spark: SparkSession | None, path: str) -> None:
     try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
     except Exception:  # the session may be gone already; then the shared folder's owner cleans up
         pass

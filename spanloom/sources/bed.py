@@ -51,7 +51,8 @@ def _rows(spark: SparkSession, files: list[str], strict: bool, with_value: bool)
     for k in range(0, max(1, len(files)), CATALOGUE):
         some = files[k : k + CATALOGUE]
         ids = F.broadcast(_catalogue(spark, some).select((F.col("ds_idx") + k).alias("ds_idx"), "path"))
-        part = _lines(spark, some).withColumn("p", parse_bed(F.col("line"), strict)).where("p.ok").join(ids, "path")
+        # A file that is listed more than once is read once and joined with each of its ids.
+        part = _lines(spark, list(dict.fromkeys(some))).withColumn("p", parse_bed(F.col("line"), strict)).where("p.ok").join(ids, "path")
         part = part.select(F.col("p.contig").alias("contig"), F.col("p.start").alias("start"), F.col("p.end").alias("end"), *value, "ds_idx")
         rows = part if rows is None else rows.unionByName(part)
     return rows, names.select("ds_idx", "file")
@@ -82,7 +83,7 @@ def read_list(spark: SparkSession, path: str, validate: bool = True) -> tuple[Da
     wanted = [f for (name,) in _list(spark, path) for f in listed(spark, name)[:1]]
     if not validate:
         return _rows(spark, wanted, False, True)
-    numbered = _lines(spark, wanted).withColumn("i", F.monotonically_increasing_id())
+    numbered = _lines(spark, list(dict.fromkeys(wanted))).withColumn("i", F.monotonically_increasing_id())
     first = numbered.groupBy("path").agg(F.min_by("line", F.struct("block", "i")).alias("line"))
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     good = {r.path for r in first.where(parse_bed(F.col("line"))["ok"]).select("path").toLocalIterator()}

@@ -69,7 +69,8 @@ def full_report(queries: DataFrame, contigs: DataFrame, hits: DataFrame):
 
 
 def write_files(lines: DataFrame, folder: str, file: str = "file", order: str = "line_no", line: str = "line") -> None:
-    """One text file for each name in ``file``, its lines in ``order``. Rows with a null in any of them are left out.
+    """One text file for each name in ``file``, packed where the name ends so, its lines in ``order``. Rows with a null in any of
+    them are left out.
 
     A file is written by one task, as lines in order must be.
     """
@@ -77,16 +78,19 @@ def write_files(lines: DataFrame, folder: str, file: str = "file", order: str =
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    parts = f"{folder.rstrip('/')}.parts"
     rows = lines.where(F.col(file).isNotNull() & F.col(order).isNotNull() & F.col(line).isNotNull())
-    rows.repartition(F.col(file)).sortWithinPartitions(file, order).select(F.col(file).alias("__file"), F.col(line).alias("value")).write.partitionBy("__file").text(parts, lineSep="\n")
+    packed = F.col(file).endswith(".gz")
     fs.mkdirs(path)
-    for d in fs.listStatus(jvm.org.apache.hadoop.fs.Path(parts)):
-        if d.isDirectory():
-            name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(d.getPath().getName().partition("=")[2])
-            for part in fs.listStatus(d.getPath()):
-                fs.rename(part.getPath(), jvm.org.apache.hadoop.fs.Path(path, name))
-    fs.delete(jvm.org.apache.hadoop.fs.Path(parts), True)
+    for some, codec in ((rows.where(packed), "gzip"), (rows.where(~packed), "none")):
+        parts = f"{folder.rstrip('/')}.{codec}"
+        placed = some.repartition(F.col(file)).sortWithinPartitions(file, order)
+        placed.select(F.col(file).alias("__file"), F.col(line).alias("value")).write.partitionBy("__file").text(parts, compression=codec, lineSep="\n")
+        for d in fs.listStatus(jvm.org.apache.hadoop.fs.Path(parts)):
+            if d.isDirectory():
+                name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(d.getPath().getName().partition("=")[2])
+                for part in fs.listStatus(d.getPath()):
+                    fs.rename(part.getPath(), jvm.org.apache.hadoop.fs.Path(path, name))
+        fs.delete(jvm.org.apache.hadoop.fs.Path(parts), True)
 
 
 def matrix_lines(matrix: DataFrame, n: int, value_above: int):

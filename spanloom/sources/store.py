@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.tiling import DEFAULT_BIN
 from spanloom.operators import matching, matrix, overlap, stats
-from spanloom.shared import written
+from spanloom.shared import release, written
 from spanloom.sources import sinks, tilefile
 
 
@@ -34,7 +34,7 @@ class IntervalStore:
         # Parsed once: the statistics, the range bounds and the clustered write each read the compact table.
         regions = written(regions, "parsed")
         counted = stats.dataset_stats(regions)
-        info = datasets.join(counted, "ds_idx", "left").select("ds_idx", "file", F.coalesce("n_regions", F.lit(0)).alias("n_regions"), "avg_size", F.coalesce("n_stored", F.lit(0)).alias("n_stored"))
+        info = datasets.select("ds_idx", "file").join(counted, "ds_idx", "left").select("ds_idx", "file", F.coalesce("n_regions", F.lit(0)).alias("n_regions"), "avg_size", F.coalesce("n_stored", F.lit(0)).alias("n_stored"))
         valid = regions.where(F.col("start") < F.col("end"))
         columns = ["contig", "start", "end", *(["value"] if has_value else []), "ds_idx"]
         clustered = valid.select(*columns).repartitionByRange("contig", "start").sortWithinPartitions("contig", "start")
@@ -44,6 +44,7 @@ class IntervalStore:
         info.write.mode("errorifexists").parquet(f"{path}/datasets")
         names.write.mode("errorifexists").parquet(f"{path}/contigs")
         spark.createDataFrame([(bin_size, has_value)], "bin_size int, has_value boolean").coalesce(1).write.mode("errorifexists").parquet(f"{path}/meta")
+        release(regions)
         return cls(spark, path, bin_size, has_value)
 
     @classmethod

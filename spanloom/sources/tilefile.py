@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from spanloom.functions.tiling import DEFAULT_BIN, explode_tiles
-from spanloom.shared import written
+from spanloom.shared import release, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -187,6 +187,7 @@ def write(intervals: DataFrame, path: str, bin_size: int = DEFAULT_BIN) -> None:
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
     wrote = kept.mapInArrow(place, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    release(kept)
     if wrote != total:
         os.remove(path)
         raise OSError(f"{wrote} of {total} records were written")

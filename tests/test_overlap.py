@@ -5,8 +5,9 @@ from collections import Counter
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from spanloom.operators import matrix, overlap
+from spanloom.operators import matrix, overlap, ranked
 from spanloom.operators.ranked import count_hits_ranked, hit_matrix_ranked
 from spanloom.plans.strategy import pushed_filters, small_side
 
@@ -76,12 +77,32 @@ def test_matrix_invariants(spark):
         assert {(x.ds_a, x.ds_b): x.n for x in hit_matrix_ranked(r, block=size).collect()} == want
     assert {tuple(x) for x in hit_matrix_ranked(r, 3).collect()} == {tuple(x) for x in matrix.hit_matrix(r, value_above=3).collect()}
     assert hit_matrix_ranked(r.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        hit_matrix_ranked(r.withColumn("ds_idx", r["r_id"].cast("int")))
     assert all(want[a, b] == want[b, a] for a, b in want)
     assert matrix.hit_matrix(r, value_above=3).count() and matrix.hit_matrix(r, value_above=99).count() == 0
 
 
+def test_matrix_of_many_datasets(spark, monkeypatch):
+    """More datasets than a pass counts columns for."""
+    rows = [(i, f"c{i % 2}", (i * 37) % 300, (i * 37) % 300 + 1 + i % 40, 1, i % 23) for i in range(150)]
+    r = spark.createDataFrame(rows, REGIONS)
+    monkeypatch.setattr(ranked, "DATASETS", 5)
+    want = {tuple(x) for x in matrix.hit_matrix(r).collect()}
+    assert {tuple(x) for x in hit_matrix_ranked(r).collect()} == want
+    named = r.withColumn("ds_idx", F.concat(F.lit("n"), F.col("ds_idx").cast("string")))
+    assert {tuple(x) for x in hit_matrix_ranked(named).collect()} == {(f"n{a}", f"n{b}", n) for a, b, n in want}
+
+
+def test_way_is_chosen(spark):
+    """Few pairs a row are joined, very many are counted by ranks; the counts are the same."""
+    r = spark.createDataFrame([(i, "c", 0, 50 + i % 7, 1, i % 3) for i in range(600)], REGIONS)
+    q = spark.createDataFrame([(i, "c", i % 5, 40 + i % 30) for i in range(600)], QUERIES)
+    assert ranked.meetings(q, r) == (360000, 1200)
+    want = {tuple(x) for x in overlap.count_hits(q, r).collect()}
+    for dense in (10**9, 0):
+        assert {tuple(x) for x in ranked.count_hits_chosen(q, r, dense=dense).collect()} == want
+    assert ranked.meetings(q.limit(0), r.limit(0)) == (0, 0) and ranked.count_hits_chosen(q.limit(0), r.limit(0)).count() == 0
+
+
 def test_threshold_needs_values(spark):
     r = spark.createDataFrame(FIXTURE, REGIONS).drop("value")
     q = overlap.literal_queries(spark, [("chr1", 1, 2)])

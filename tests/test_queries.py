@@ -8,6 +8,7 @@ import pytest
 from oracle import SF, differences
 
 from spanloom import queries as Q
+from spanloom import store_queries as S
 
 
 @pytest.mark.parametrize("name", sorted(Q.QUERIES))
@@ -17,6 +18,16 @@ def test_query(spark, name):
     assert not wrong
 
 
+@pytest.mark.parametrize("name", sorted(S.QUERIES))
+def test_store_query(spark, name):
+    _, wrong = differences(spark, S.QUERIES[name], S.SQL[name])
+    assert not wrong
+
+
+def test_names_differ():
+    assert not set(Q.QUERIES) & set(S.QUERIES)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
