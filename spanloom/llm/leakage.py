@@ -27,7 +27,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.shared import written
+from spanloom.shared import release, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -273,6 +273,7 @@ def fit(words: DataFrame, items: list[tuple[int, np.ndarray]], df: np.ndarray, n
         y, _ = np.linalg.qr(product(y))
         y = y.astype(np.float32)
     _, u = np.linalg.eigh(y.T @ product(y))
+    release(sample)
     v = y @ u[:, ::-1][:, :RANK]
     return (v * idf[:, None]).astype(np.float32)
 

@@ -19,7 +19,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.shared import written
+from spanloom.shared import release, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -230,6 +230,7 @@ def scores(documents: DataFrame, text: str = "text", key: str = "doc_id", host:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(predict(model.value, v))], ["doc_id", "host", "page_score"])
 
     scored = written(pages.select("doc_id", "host", "x").mapInArrow(score, "doc_id long, host string, page_score double"), "scores")
+    release(pages)
     whole = scored.agg(F.coalesce(F.avg((F.col("page_score") > 0.5).cast("double")), F.lit(0.0))).first()[0]
     hosts = scored.groupBy("host").agg(((F.sum((F.col("page_score") > 0.5).cast("double")) + HOST_PRIOR * whole) / (F.count("*") + HOST_PRIOR)).alias("host_rate"))
     joined = scored.alias("s").join(hosts.alias("h"), F.col("s.host").eqNullSafe(F.col("h.host")))
