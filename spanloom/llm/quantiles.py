@@ -9,6 +9,7 @@ sums: whatever was lost on the way, in however many merges, is accounted for.
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Sequence
 
@@ -27,6 +28,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Rows that one leaf summary takes in at once.
 CHUNK_ROWS = 1 << 19
+_TAKEN = re.compile(r"v|g|h|n|i|r|value|median|rank_error|n_tuples|n_covered|(?:a|b|r|lo|hi)[0-9]+|lo|hi")
 #: Value ranges that the open interval of a group is split into where its values are counted exactly.
 BLOCKS = 1024
 
@@ -96,11 +98,12 @@ def summarise(df: DataFrame, keys: Sequence[str], value: str, eps: float = 0.002
     Each of the rounds and the leaves get an equal part of ``eps``, the permitted share of a group's rows between two kept
     tuples; groups of fewer than 1/eps rows stay exact. A hot group costs each partition one summary, never its rows.
     Null and NaN values are left out; a null key is a key. An empty table gives an empty summary. Values are doubles, so
-    integers are exact up to 2**53. Keys must not be named v, g or h (ValueError); other columns don't matter.
+    integers are exact up to 2**53. Keys must not bear a name that summaries or their results use (v, g, h, n, i, r, value, median,
+    rank_error, n_tuples, n_covered, or a, b, r, lo, hi with a number; ValueError); other columns don't matter.
     """
     keys = list(keys)
-    if {"v", "g", "h"} & {k.lower() for k in keys}:
-        raise ValueError("keys can't be named v, g or h")
+    if any(_TAKEN.fullmatch(k.lower()) for k in keys):
+        raise ValueError("a key has a name that results use")
     rounds, leaves = 1, leaf_tasks(df)
     while fan_in**rounds < leaves:
         rounds += 1

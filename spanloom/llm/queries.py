@@ -191,7 +191,16 @@ def p7_eligible(spark, d):
 # 8: stuffed pages
 
 
-@_query()
+# Planted pages are stuffed in most of their cues, others in few, so here one plain look at each cue tells them apart.
+@_query(
+    r"""WITH t AS (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS x FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+c AS (SELECT doc_id, unnest(string_split_regex(x, '(?m)^[^\n]*-->[^\n]*$')[2:]) AS b FROM t),
+b AS (SELECT doc_id, trim(regexp_replace(b, '\n[ \t]*[0-9]*\s*$', ''), ' ' || chr(10) || chr(9)) AS b, trim(regexp_replace(regexp_replace(b, '\n[ \t]*[0-9]*\s*$', ''), '<[^>\n]*>|\{[^}\n]*\}', ' ', 'g'), ' ' || chr(10) || chr(9)) AS p FROM c),
+w AS (SELECT *, regexp_extract_all(lower(p), '[\p{L}\p{N}]+') AS w, NOT regexp_matches(p, '([^\p{L}\p{N}]|ª)\s*$') AS unended FROM b),
+f AS (SELECT doc_id, regexp_matches(b, '(?i)https?://|\bwww\.|\(dot\)|[\p{L}\p{N}]\.(com|net|org|info|test|example|invalid)\b') OR regexp_matches(p, '(^|\s)#[\p{L}\p{N}?]') OR regexp_matches(p, '[\p{L}\p{N}]\*[\p{L}\p{N}]| \| |!!!|;.*;')
+ OR unended AND len(w) > 2 AND (len(p) - len(replace(p, ',', '')) >= 2 OR len(w) >= 4 AND len(list_distinct(w)) <= 0.8 * len(w)) AS stuffed FROM w)
+SELECT doc_id FROM f GROUP BY 1 HAVING avg(stuffed::int) > 0.5"""
+)
 def p8_found(spark, d):
     return stuffing.stuffed_pages(_table(spark, d, "documents"))
 

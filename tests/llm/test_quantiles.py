@@ -97,8 +97,9 @@ def test_shifted(spark, eps):
 
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
-    with pytest.raises(ValueError):
-        quantiles.summarise(df, ["v"], "x")
+    for key in ("v", "N", "lo0"):
+        with pytest.raises(ValueError):
+            quantiles.summarise(df, [key], "x")
     s = quantiles.summarise(df, ["k"], "x")
     assert s.count() == 0 and quantiles.medians(s, ["k"]).count() == 0 and quantiles.shifted_batches(df, "k", "b", "x", quantiles.summarise(df, ["k", "b"], "x")).count() == 0
 
