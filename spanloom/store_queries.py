@@ -356,8 +356,8 @@ def report_index(spark, d):
 @_query(f"WITH {_F}, m AS (SELECT count(*) AS n, avg(e - s) AS a FROM p WHERE ok) SELECT 0 AS line_no, 'Total intervals, l_avg:  ' || n || ' ' || lpad(printf('%.3f', a), greatest(12, len(printf('%.3f', a)))::int, ' ') AS line FROM m")
 def report_create(spark, d):
     """The summary that the command prints when it has built a store of a folder."""
-    place = f"{shared_dir(spark)}"
-    return _as_lines(spark, cli.lines(spark, ["create", _folder(spark, d), place, f"spanloom-created-{uuid.uuid4().hex}"]))
+    place = removed_at_exit(spark, f"{shared_dir(spark)}/spanloom-created-{uuid.uuid4().hex}")
+    return _as_lines(spark, cli.lines(spark, ["create", _folder(spark, d), *place.rsplit("/", 1)]))
 
 
 @_query("SELECT p::int AS power, (CASE WHEN p BETWEEN 11 AND 19 THEN 2 ** p ELSE 16384 END)::int AS bin_size FROM range(-1, 33) AS t(p)")
