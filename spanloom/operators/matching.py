@@ -10,7 +10,7 @@ from __future__ import annotations
 import sys
 
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute  # noqa: F401
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
