@@ -24,16 +24,16 @@ def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], limit: int = B
     """``rows`` with the other columns of ``table`` at equal ``keys``, null keys equal too.
 
     A table of at most ``limit`` rows, counted first, is broadcast, so rows don't move. A larger one is met under ``salts`` numbers,
-    of which each row draws one and the table's rows have all, so a key that holds most rows is spread over as many tasks.
-    ``table`` is read more than once and should be stored.
+    of which each row has one by its content and partition (the same when a task runs again) and the table's rows have all, so a key
+    that holds most rows is spread over as many tasks. ``table`` is read more than once and should be stored.
     """
     small = rows.isStreaming or table.limit(limit + 1).count() <= limit
     own = [c for c in table.columns if c not in keys]
     if small:
         left, right, on = rows, F.broadcast(table), keys
     else:
-        left = rows.withColumn("__salt", F.floor(F.rand(1) * salts).cast("int"))
-        right, on = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*keys, "__salt"]
+        left = rows.withColumn("__salt", F.pmod(F.xxhash64(F.spark_partition_id(), *(F.col(f"`{c}`") for c in rows.columns)), F.lit(salts)).cast("int"))
+        right, on = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge"), [*keys, "__salt"]
     met = F.lit(True)
     for k in on:
         met = met & F.col(f"l.`{k}`").eqNullSafe(F.col(f"t.`{k}`"))
