@@ -27,6 +27,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.llm import arrow
 from spanloom.shared import release, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -91,7 +92,7 @@ def word_table(documents: DataFrame, text: str = "text", key: str = "doc_id") ->
 
     def split(batches):
         hashed = _hasher()
-        for b in batches:
+        for b in arrow.parts(batches):
             docs, segs, offsets, parts, at = [], [], [0], [], 0
             for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 w = hashed(spoken_words(t))

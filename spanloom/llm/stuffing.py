@@ -19,6 +19,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.llm.arrow import parts
 from spanloom.shared import release, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -80,8 +81,8 @@ def _decoded(run: re.Match) -> str:
 def cue_texts(text: str) -> list[str]:
     """The text of each cue, without its number and time; what precedes the first time isn't part of one."""
     text = text.replace("\r\n", "\n").replace("\r", "\n")
-    parts = _TIME.split(text if text.isascii() else _FOREIGN.sub(_decoded, text))[1:]
-    return [_NUMBER.sub("", p).strip() for p in parts]
+    cues = _TIME.split(text if text.isascii() else _FOREIGN.sub(_decoded, text))[1:]
+    return [_NUMBER.sub("", c).strip() for c in cues]
 
 
 def marked(cues: list[str]) -> float:
@@ -133,7 +134,7 @@ def page_features(documents: DataFrame, text: str = "text", key: str = "doc_id",
     """
 
     def rows(batches):
-        for b in batches:
+        for b in parts(batches):
             cues = [cue_texts(t) for t in b.column(3).to_pylist()]
             keep = [i for i, c in enumerate(cues) if any(map(_WORD.search, c))]
             ids, drawn = pa.array(keep, pa.int64()), b.column(2).to_pylist()
