@@ -353,7 +353,7 @@ def report_index(spark, d):
     return _as_lines(spark, sinks.index_lines(_store(spark, d).datasets))
 
 
-@_query(f"WITH {_F}, m AS (SELECT count(*) AS n, avg(e - s) AS a FROM p WHERE ok) SELECT 0 AS line_no, 'Total intervals, l_avg:  ' || n || ' ' || lpad(printf('%.3f', a), greatest(12, len(printf('%.3f', a)))::int, ' ') AS line FROM m")
+@_query(f"WITH {_F}, m AS (SELECT count(*) AS n, avg(e - s) AS a FROM p WHERE ok) SELECT 0::BIGINT AS line_no, 'Total intervals, l_avg:  ' || n || ' ' || lpad(printf('%.3f', a), greatest(12, len(printf('%.3f', a)))::int, ' ') AS line FROM m")
 def report_create(spark, d):
     """The summary that the command prints when it has built a store of a folder."""
     place = removed_at_exit(spark, f"{shared_dir(spark)}/spanloom-created-{uuid.uuid4().hex}")
