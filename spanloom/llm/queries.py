@@ -175,7 +175,7 @@ def p7_shares(spark, d):
     return mixture.shares(*_mixed(spark, d)[:2])
 
 
-@_query(f"{_REACH} SELECT source, reachable, 0 AS n_over, 0 AS n_repeated, true AS in_bound FROM r")
+@_query(f"{_REACH} SELECT source, reachable, 0::BIGINT AS n_over, 0::BIGINT AS n_repeated, true AS in_bound FROM r")
 def p7_promises(spark, d):
     """What must hold of any mixture: repeats within their caps, one row a document, tokens within the draw's bound of the fit."""
     return mixture.kept_promises(*_mixed(spark, d))
