@@ -84,6 +84,11 @@ class IntervalStore:
     def n_datasets(self) -> int:
         return self.datasets.count()
 
+    @property
+    def dataset_ids(self) -> list[int | None]:
+        """The datasets' ids in order, which may leave numbers out; a null is the last."""
+        return [r.ds_idx for r in self.datasets.select("ds_idx").orderBy(F.asc_nulls_last("ds_idx")).toLocalIterator()]
+
     def contig_id(self, name: str) -> int:
         return stats.contig_id(self.contigs, name)
 
@@ -115,10 +120,13 @@ class IntervalStore:
         return self.datasets.join(n, "ds_idx", "left").select("ds_idx", "file", "n_regions", F.coalesce("n_hits", F.lit(0)).alias("n_hits"))
 
     def hit_vector(self, queries: DataFrame, into: np.ndarray | None = None, min_value: int = 0) -> np.ndarray:
-        """Hits as a vector with a place for every dataset, added to ``into`` if given; its sum is the number of hits."""
-        out = np.zeros(self.n_datasets, np.int64) if into is None else into
-        for r in self.pairs(queries, min_value).groupBy("ds_idx").agg(F.count("*").alias("n")).toLocalIterator():
-            out[r.ds_idx] += r.n
+        """Hits as a vector with a place for every dataset, in the order of :attr:`dataset_ids`, added to ``into`` if given; its sum
+        is the number of hits. Hits of regions whose dataset isn't in the catalogue have no place."""
+        ids = self.dataset_ids
+        out = np.zeros(len(ids), np.int64) if into is None else into
+        hits = self.pairs(queries, min_value).where("ds_idx IS NOT NULL").groupBy("ds_idx").agg(F.count("*").alias("n"))
+        n = {r.ds_idx: r.n for r in hits.toLocalIterator()}
+        out += np.array([n.get(x, 0) for x in ids], np.int64)
         return out
 
     def search(self, contig: str, start: int, end: int, min_value: int = 0) -> DataFrame:

@@ -228,7 +228,7 @@ def store_hit_vector(spark, d):
     """The hits of two searches with the same queries, added up."""
     s, q = _store(spark, d), _table(spark, d, "queries")
     v = s.hit_vector(q, s.hit_vector(q))
-    return spark.createDataFrame([(i, int(x)) for i, x in enumerate(v)], "ds_idx int, n long")
+    return spark.createDataFrame([(i, int(x)) for i, x in zip(s.dataset_ids, v, strict=True)], "ds_idx int, n long")
 
 
 _FOUND = f"SELECT contig, rs AS start, re AS \"end\", value, ds_idx FROM r WHERE contig = '{REGION[0]}' AND rs < {REGION[2]} AND re > {REGION[1]}"

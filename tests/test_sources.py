@@ -78,6 +78,16 @@ def test_store(spark, folder):
     assert sinks.read_index_tsv(spark, f"{folder}/index").count() == 4
 
 
+def test_ids_with_gaps(spark, tmp_path):
+    """Datasets whose ids leave numbers out, and a region of a dataset that the catalogue doesn't have."""
+    regions = spark.createDataFrame([("chr1", 10, 20, 5, 7), ("chr1", 15, 30, 5, 1_000_003), ("chr1", 90, 95, 5, 2), ("chr1", 12, 14, 5, 8), ("chr1", 12, 14, 5, None)], "contig string, start long, end long, value int, ds_idx int")
+    s = IntervalStore.create(spark, f"{tmp_path}/s", regions, spark.createDataFrame([(7, "b"), (1_000_003, "c"), (2, "a"), (None, "d")], "ds_idx int, file string"))
+    q = spark.createDataFrame([(1, "chr1", 13, 18), (2, "chr1", 13, 14)], "q_id long, contig string, start long, end long")
+    assert s.dataset_ids == [2, 7, 1_000_003, None]
+    once = s.hit_vector(q)
+    assert once.tolist() == [0, 2, 1, 0] and s.hit_vector(q, once).tolist() == [0, 4, 2, 0]
+
+
 def test_many_files(spark, folder, monkeypatch):
     """More files than are broadcast at once, and no shuffle of lines by file or name."""
     whole = sorted(map(tuple, bed.read_folder(spark, f"{folder}/in/*")[0].collect()))
