@@ -87,7 +87,7 @@ def search(spark: SparkSession, a: argparse.Namespace) -> Iterator[str]:
         return
     if a.mode == "matrix":
         with open(a.out, "w") as f:
-            f.writelines(line + "\n" for line in sinks.matrix_lines(store.matrix(value), store.n_datasets, value))
+            f.writelines(line + "\n" for line in sinks.matrix_lines(store.matrix(value), store.dataset_ids, value))
         return
     if a.mode == "region":
         contig, start, end = a.region[0], int(a.region[1]), int(a.region[2])

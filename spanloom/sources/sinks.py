@@ -2,8 +2,19 @@
 
 from __future__ import annotations
 
+import sys
+from itertools import groupby, repeat
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: Characters of lines that a task holds at once.
+PART = 1 << 22
 
 
 def index_tsv(datasets: DataFrame, path: str) -> None:
@@ -93,15 +104,53 @@ def write_files(lines: DataFrame, folder: str, file: str = "file", order: str =
         fs.delete(jvm.org.apache.hadoop.fs.Path(parts), True)
 
 
-def matrix_lines(matrix: DataFrame, n: int, value_above: int):
-    """The dense matrix as text: a line with both sizes and the threshold, then a line a dataset. A generator over rows."""
+def _in_lines(cells, n: int):
+    """(x, line) of each run of cells (x, y, count), which come in order; a y below 0 only says that there is such a line."""
+    empty = "0\t" * n
+    for x, own in groupby(cells, key=lambda c: c[0]):
+        pieces, upto = [], 0
+        for _, y, count in own:
+            if y >= 0:
+                pieces += empty[: 2 * (y - upto)], f"{count}\t"
+                upto = y + 1
+        yield x, "".join((*pieces, empty[: 2 * (n - upto)]))
+
+
+def matrix_lines(matrix: DataFrame, ids: list, value_above: int):
+    """The dense matrix as text: a line with both sizes and the threshold, then a line for each of the ids, which are in order. A
+    generator over rows."""
+    n, of, at = len(ids), {x: i for i, x in enumerate(ids) if x is not None}, 0
     yield f"{n}\t{n}\t{value_above}"
-    at, row = 0, [0] * n
-    for a, b, c in matrix.orderBy("ds_a").toLocalIterator():
-        while at < a:
-            yield "".join(f"{x}\t" for x in row)
-            at, row = at + 1, [0] * n
-        row[b] = c
-    while at < n:
-        yield "".join(f"{x}\t" for x in row)
-        at, row = at + 1, [0] * n
+    rows = ((of[a], of[b], c) for a, b, c in matrix.orderBy("ds_a", "ds_b").toLocalIterator() if a in of and b in of)
+    empty = "0\t" * n
+    for x, line in _in_lines(rows, n):
+        yield from repeat(empty, x - at)
+        yield line
+        at = x + 1
+    yield from repeat(empty, n - at)
+
+
+def matrix_table(matrix: DataFrame, ids: list, value_above: int) -> DataFrame:
+    """:func:`matrix_lines` as a table (line_no, line). Its lines, in length and number as many as the datasets, are made by the
+    tasks one at a time; the driver holds the ids."""
+    spark, n = matrix.sparkSession, len(ids)
+    places = spark.createDataFrame(list(enumerate(ids)), T.StructType([T.StructField("at", T.LongType()), T.StructField("ds", matrix.schema["ds_a"].dataType)]))
+    x, y = (places.select(F.col("at").alias(c), F.col("ds").alias(f"ds_{ds}")) for c, ds in (("x", "a"), ("y", "b")))
+    cells = matrix.join(x, "ds_a").join(y, "ds_b").select("x", "y", "n")
+    cells = cells.unionByName(x.select("x", F.lit(-1).cast("long").alias("y"), F.lit(0).cast("long").alias("n")))
+
+    def lines(batches):
+        rows = (c for b in batches for c in zip(*(v.to_pylist() for v in b.columns), strict=True))
+        at, out, size = [], [], 0
+        for x, line in _in_lines(rows, n):
+            at.append(x + 1)
+            out.append(line)
+            size += len(line)
+            if size >= PART:
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(out)], ["line_no", "line"])
+                at, out, size = [], [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(out, pa.string())], ["line_no", "line"])
+
+    columns = "line_no long, line string"
+    body = cells.repartition("x").sortWithinPartitions("x", "y").mapInArrow(lines, columns)
+    return spark.createDataFrame([(0, f"{n}\t{n}\t{value_above}")], columns).unionByName(body)

@@ -345,7 +345,7 @@ def report_full_hits(spark, d):
 )
 def report_matrix(spark, d):
     s = _store(spark, d)
-    return _as_lines(spark, sinks.matrix_lines(s.matrix(MIN_VALUE), s.n_datasets, MIN_VALUE))
+    return sinks.matrix_table(s.matrix(MIN_VALUE), s.dataset_ids, MIN_VALUE)
 
 
 @_query(_report(_D, f"'Index' || {_TAB} || 'File' || {_TAB} || 'Number of regions' || {_TAB} || 'Avg size'", f"SELECT ds_idx, ds_idx || {_TAB} || file || {_TAB} || n_regions || {_TAB} || CASE WHEN avg_size IS NULL THEN 'nan' ELSE printf('%.6f', avg_size) END AS line FROM i", "ds_idx"))

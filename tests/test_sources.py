@@ -88,6 +88,19 @@ def test_ids_with_gaps(spark, tmp_path):
     assert once.tolist() == [0, 2, 1, 0] and s.hit_vector(q, once).tolist() == [0, 4, 2, 0]
 
 
+def test_matrix_of_ids_with_gaps(spark, monkeypatch):
+    """Lines of the matrix are made by tasks, a few at a time, whatever the ids; cells of unknown datasets have no place."""
+    cells = [(2, 2, 4), (2, 900_000, 1), (900_000, 2, 1), (900_000, 900_000, 30), (8, 2, 5), (2, 8, 5), (None, None, 3)]
+    matrix = spark.createDataFrame(cells, "ds_a int, ds_b int, n long")
+    want = ["4\t4\t6", "4\t0\t1\t0\t", "0\t0\t0\t0\t", "1\t0\t30\t0\t", "0\t0\t0\t0\t"]
+    ids = [2, 7, 900_000, None]
+    assert list(sinks.matrix_lines(matrix, ids, 6)) == want
+    for size in (1, 1 << 22):
+        monkeypatch.setattr(sinks, "PART", size)
+        assert sorted(map(tuple, sinks.matrix_table(matrix, ids, 6).collect())) == list(enumerate(want))
+    assert list(sinks.matrix_lines(matrix, [], 0)) == ["0\t0\t0"] == [r.line for r in sinks.matrix_table(matrix, [], 0).collect()]
+
+
 def test_many_files(spark, folder, monkeypatch):
     """More files than are broadcast at once, and no shuffle of lines by file or name."""
     whole = sorted(map(tuple, bed.read_folder(spark, f"{folder}/in/*")[0].collect()))
