@@ -24,12 +24,19 @@ def hit_matrix(intervals: DataFrame, bin_size: int | None = None, value_above: i
     r = intervals.where((F.col("start") < F.col("end")) & F.col("contig").isNotNull())
     if value_above > 0:
         r = r.where(F.col("value") > value_above)
-    tiled = explode_tiles(r.select("contig", "start", "end", "ds_idx"), bin_size or fitting_bin(r), first="first")
+    return met(explode_tiles(r.select("contig", "start", "end", "ds_idx"), bin_size or fitting_bin(r), first="first"))
+
+
+def met(tiled: DataFrame, half: bool = False) -> DataFrame:
+    """The matrix of regions that :func:`explode_tiles` has placed, with their first tile; with ``half`` only its cells with ds_a up
+    to ds_b, which say all of it where no dataset is null."""
     a = tiled.select("contig", "tile", *(F.col(c).alias(f"a_{c}") for c in ("start", "end", "first", "ds_idx")))
     b = tiled.select("contig", "tile", *(F.col(c).alias(f"b_{c}") for c in ("start", "end", "first", "ds_idx")))
-    met = (F.col("a_start") < F.col("b_end")) & (F.col("a_end") > F.col("b_start")) & (F.col("tile") == F.greatest("a_first", "b_first"))
+    pair = (F.col("a_start") < F.col("b_end")) & (F.col("a_end") > F.col("b_start")) & (F.col("tile") == F.greatest("a_first", "b_first"))
+    if half:
+        pair = pair & (F.col("a_ds_idx") <= F.col("b_ds_idx"))
     # Exploded sides outgrow any estimate of their size, so neither is broadcast; sorted runs spill, hash tables wouldn't.
-    return a.join(b.hint("merge"), ["contig", "tile"]).where(met).groupBy(F.col("a_ds_idx").alias("ds_a"), F.col("b_ds_idx").alias("ds_b")).agg(F.count("*").alias("n"))
+    return a.join(b.hint("merge"), ["contig", "tile"]).where(pair).groupBy(F.col("a_ds_idx").alias("ds_a"), F.col("b_ds_idx").alias("ds_b")).agg(F.count("*").alias("n"))
 
 
 def dense(matrix: DataFrame, datasets: list[int]) -> DataFrame:

@@ -12,13 +12,17 @@ blocks' counts, so no contig, block or place is gathered uncollapsed in one task
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from spanloom.functions.tiling import DEFAULT_BIN, explode_tiles
+from spanloom.operators.matrix import fitting_bin, met
 from spanloom.operators.overlap import count_hits, wanted
-from spanloom.shared import written
+from spanloom.plans.strategy import small_side
+from spanloom.shared import release, written
 
 #: Datasets that a pass counts a matrix's columns for: a running count is kept for each.
 DATASETS = 64
@@ -78,32 +82,67 @@ def count_hits_chosen(queries: DataFrame, intervals: DataFrame, min_value: int =
     return count_hits(queries, intervals, min_value=min_value, bin_size=bin_size)
 
 
-def hit_matrix_ranked(intervals: DataFrame, value_above: int = 0, block: int = DEFAULT_BIN) -> DataFrame:
+def hit_matrix_ranked(intervals: DataFrame, value_above: int = 0, block: int = DEFAULT_BIN, bin_size: int | None = None) -> DataFrame:
     """(ds_a, ds_b, n): as :func:`spanloom.operators.matrix.hit_matrix`, by ranks.
 
     Every boundary is met with the running counts of all datasets' boundaries, so the work grows with rows times datasets and
-    not with overlaps. A pass counts DATASETS columns of the matrix; more datasets take more passes over the collapsed boundaries.
+    not with overlaps. A pass counts DATASETS columns of the matrix. With more datasets than that, regions are met tile by tile: those
+    of a tile that holds no more regions than there are datasets in pairs, those of a fuller one by ranks, in as many passes as it
+    takes; so a tile's work is its regions times the smaller of the two numbers. ``bin_size``, else the mean width, is the tiles'.
     Nulls in contig, start or end match nothing; rows of a null dataset are left out. The driver holds the datasets' ids.
     """
     r = intervals.where(F.col("contig").isNotNull() & F.col("ds_idx").isNotNull() & (F.col("start") < F.col("end")))
     if value_above > 0:
         r = r.where(F.col("value") > value_above)
-    own = _marks(r, ["ds_idx"], [F.lit(_START).alias("kind")], [F.lit(_END).alias("kind")]).groupBy("contig", "pos", "kind", "ds_idx").agg(F.count("*").alias("n"))
-    own = written(own.withColumn("block", F.call_function("div", F.col("pos") - F.pmod("pos", F.lit(block)), F.lit(block))), "marks")
-    names = sorted(x[0] for x in own.select("ds_idx").distinct().toLocalIterator())
-    out = r.select(F.col("ds_idx").alias("ds_a"), F.col("ds_idx").alias("ds_b"), F.lit(0).cast("long").alias("n")).limit(0)
+    names = sorted(x[0] for x in r.select("ds_idx").distinct().toLocalIterator())
+    if not names:
+        return r.select(F.col("ds_idx").alias("ds_a"), F.col("ds_idx").alias("ds_b"), F.lit(0).cast("long").alias("n")).limit(0)
+    if len(names) <= DATASETS:
+        own = written(_collapsed(r, [], block), "marks")
+        return _columns(own, own, names)
+    # Not below the mean width, so that a region has few copies.
+    width = bin_size or fitting_bin(r, most=1 << 40)
+    tiled = explode_tiles(r.select("contig", "start", "end", "ds_idx"), width, first="first")
+    n_rows = tiled.groupBy("contig", "tile").agg(F.count("*").alias("__n"))
+    full = written(n_rows.where(F.col("__n") > len(names)).select("contig", "tile"), "full")
+    if full.isEmpty():
+        release(full)
+        return _mirrored(met(tiled, half=True))
+    mark = full.withColumn("__full", F.lit(True))
+    marked = tiled.join(small_side(mark), ["contig", "tile"], "left")
+    cells = [_mirrored(met(marked.where("__full IS NULL").drop("__full"), half=True))]
+    # A pair belongs to the later of the two first tiles. Within it, nothing beyond its ends makes a difference.
+    low, high = F.col("tile") * width, (F.col("tile") + 1) * width
+    begins = F.col("first") == F.col("tile")
+    inside = marked.where("__full").select("contig", "tile", "ds_idx", begins.alias("begins"), F.when(begins, F.col("start")).otherwise(low - 1).alias("start"), F.least("end", high).alias("end"))
+    own = written(_collapsed(inside, ["tile", "begins"], block).withColumn("contig", F.struct("contig", "tile")).drop("tile"), "marks")
     for k in range(0, len(names), DATASETS):
-        part = _columns(own, names[k : k + DATASETS])
-        out = part if k == 0 else out.unionByName(part)
-    return out
+        # Each written by itself: a plan of all passes would be as long as there are datasets.
+        part = names[k : k + DATASETS]
+        both = written(_columns(own.where("begins"), own.where("begins"), part), "cells")
+        before = written(_columns(own.where("begins"), own.where("NOT begins"), part), "cells")
+        cells += both, before, before.select(F.col("ds_b").alias("ds_a"), F.col("ds_a").alias("ds_b"), "n")
+    return reduce(DataFrame.unionByName, cells).groupBy("ds_a", "ds_b").agg(F.sum("n").alias("n"))
+
+
+def _mirrored(half: DataFrame) -> DataFrame:
+    """The whole matrix from its cells with ds_a up to ds_b."""
+    own, other = (F.struct(F.col(a).alias("ds_a"), F.col(b).alias("ds_b"), "n") for a, b in (("ds_a", "ds_b"), ("ds_b", "ds_a")))
+    return half.select(F.inline(F.when(F.col("ds_a") == F.col("ds_b"), F.array(own)).otherwise(F.array(own, other))))
+
+
+def _collapsed(r: DataFrame, keep: list[str], block: int) -> DataFrame:
+    """The regions' boundaries, counted by place."""
+    own = _marks(r, [*keep, "ds_idx"], [F.lit(_START).alias("kind")], [F.lit(_END).alias("kind")]).groupBy("contig", *keep, "pos", "kind", "ds_idx").agg(F.count("*").alias("n"))
+    return own.withColumn("block", F.call_function("div", F.col("pos") - F.pmod("pos", F.lit(block)), F.lit(block)))
 
 
-def _columns(own: DataFrame, names: list) -> DataFrame:
-    """The matrix's cells with ds_b among ``names``."""
+def _columns(own: DataFrame, others: DataFrame, names: list) -> DataFrame:
+    """The matrix's cells of the regions of ``own`` with those of ``others`` whose dataset is among ``names``."""
     # Each mark is looked at, and those of the named datasets count for what looks from behind them: ends look at starts before
     # them, starts at ends up to them.
     looks = own.select("contig", "block", "pos", "kind", "ds_idx", "n", F.lit(0).cast("long").alias("c"), F.lit(None).cast("int").alias("side"))
-    counted = own.where(F.col("ds_idx").between(names[0], names[-1]))
+    counted = others.where(F.col("ds_idx").between(names[0], names[-1]))
     seen = counted.select("contig", "block", "pos", F.lit(_QUERY).alias("kind"), "ds_idx", F.lit(0).cast("long").alias("n"), F.col("n").alias("c"), F.col("kind").alias("side"))
     marks = looks.unionByName(seen)
     of = {(i, side): F.sum(F.when((F.col("ds_idx") == F.lit(d)) & (F.col("side") == side), F.col("c"))) for i, d in enumerate(names) for side in (_START, _END)}

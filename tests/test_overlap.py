@@ -1,5 +1,6 @@
 """Overlap joins against brute force and a hand-written fixture."""
 
+import random
 from collections import Counter
 
 import pytest
@@ -92,6 +93,24 @@ def test_matrix_of_many_datasets(spark, monkeypatch):
     assert {tuple(x) for x in hit_matrix_ranked(named).collect()} == {(f"n{a}", f"n{b}", n) for a, b, n in want}
 
 
+@pytest.mark.parametrize("bin_size", [16, 64, None])
+def test_matrix_passes_for_full_tiles_only(spark, monkeypatch, bin_size):
+    """More datasets than a pass counts: sparse tiles take no pass, full ones agree with brute force."""
+    r = random.Random(3)
+    rows = [(i, f"c{i % 2}", s := r.choice([r.randrange(-40, 4000), 64, 100 + r.randrange(9)]), s + r.choice([1, 3, 64, 300]), 1, r.randrange(8)) for i in range(160)]
+    table = spark.createDataFrame(rows, REGIONS)
+    want = Counter((a[5], b[5]) for a in rows for b in rows if a[1] == b[1] and a[2] < b[3] and b[2] < a[3])
+    passes, columns = [], ranked._columns
+    monkeypatch.setattr(ranked, "_columns", lambda *a: passes.append(a[2]) or columns(*a))
+    monkeypatch.setattr(ranked, "DATASETS", 5)
+    assert {(x.ds_a, x.ds_b): x.n for x in hit_matrix_ranked(table, block=32, bin_size=bin_size).collect()} == want
+    assert len(passes) == 4
+    passes.clear()
+    sparse = spark.createDataFrame([(i, "c", i * 1000, i * 1000 + 1500, 1, i) for i in range(40)], REGIONS)
+    assert {(x.ds_a, x.ds_b): x.n for x in hit_matrix_ranked(sparse).collect()} == {(i, j): 1 for i in range(40) for j in range(40) if abs(i - j) < 2}
+    assert not passes
+
+
 def test_way_is_chosen(spark):
     """Few pairs a row are joined, very many are counted by ranks; the counts are the same."""
     r = spark.createDataFrame([(i, "c", 0, 50 + i % 7, 1, i % 3) for i in range(600)], REGIONS)
