@@ -1,6 +1,6 @@
 """Mixtures of sources with target weights, in tokens of a public tokenizer.
 
-Topics are clusters of the texts in a latent space: randomised SVD of TF-IDF over hashed tokens. Token sizes are summed per cell of
+Topics are clusters of all texts in a latent space: randomised SVD of TF-IDF over hashed tokens, fitted in passes over them. Token sizes are summed per cell of
 source, language and topic. Iterative proportional fitting rakes the cells' token weights to the margins: each source's target
 share (as far as its repeats allow), and the languages' and topics' own shares. The calibrated weight of a cell is its documents'
 expected number of uses; each document gets its whole part for certain and one more use with the remaining probability, decided by
@@ -30,8 +30,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 TERMS, RANK, TOPICS = 2048, 16, 16
 #: Extra directions of the random start and rounds of the power iteration.
 EXTRA, ROUNDS = 16, 4
-#: Bound of the sample of documents, about, that latent space and topics are fitted on.
-FIT_DOCUMENTS = 4000
+#: Parts of one that sums over documents are rounded to: sums of some billion documents' unit vectors fit 64 bits.
+SCALE = float(1 << 30)
 #: Texts beyond this many characters are tokenized in parts, cut at line ends, so that memory stays bounded.
 PART = 1 << 18
 ITERATIONS = 50
@@ -98,79 +98,127 @@ def _document_frequencies(tokens: DataFrame) -> tuple[np.ndarray, int]:
     return out[:TERMS], int(out[TERMS])
 
 
-def _vectors(terms: list[np.ndarray], tf: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
+def _unit(z: np.ndarray) -> np.ndarray:
+    return z / np.maximum(np.sqrt(np.einsum("ij,ij->i", z, z))[:, None], 1e-12)
+
+
+def _vectors(terms: list[bytes], tf: list[bytes], idf: np.ndarray) -> np.ndarray:
     """Rows of TF-IDF of unit length; a document without tokens has a row of zeros."""
+    size = np.array([len(t) // 2 for t in terms], np.int64)
+    t = np.frombuffer(b"".join(terms), "<i2")
     x = np.zeros((len(terms), TERMS), np.float32)
-    for i, (t, f) in enumerate(zip(terms, tf, strict=True)):
-        x[i, t] = (1 + np.log(f)) * idf[t]
-    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
+    x[np.repeat(np.arange(len(terms)), size), t] = (1 + np.log(np.frombuffer(b"".join(tf), "<i4"))) * idf[t]
+    return _unit(x)
 
 
-def _unit(z: np.ndarray) -> np.ndarray:
-    return z / np.maximum(np.sqrt((z * z).sum(1, keepdims=True)), 1e-12)
+def _summed(table: DataFrame, part, rows: int, width: int) -> np.ndarray:
+    """The sum over all rows of ``table`` of ``part(batch)``, a matrix of rows x width numbers: they come back, and each task hands on
+    as many. Tasks' sums are added as whole numbers, so the order in which they come makes no difference."""
+    names = [f"c{i}" for i in range(width)]
+
+    def total(batches):
+        out = np.zeros((rows, width))
+        for b in parts(batches):
+            out += part(b)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(rows)), *(pa.array(c) for c in np.ascontiguousarray(np.rint(out * SCALE).astype(np.int64).T))], ["at", *names])
+
+    sums = table.mapInArrow(total, "at long, " + ", ".join(f"{c} long" for c in names)).groupBy("at").agg(*(F.sum(c).alias(c) for c in names)).toPandas()
+    return sums.sort_values("at")[names].to_numpy(np.float64) / SCALE
 
 
-def fit_topics(x: np.ndarray, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(TERMS x rank map into the latent space, topics x rank centres): randomised SVD, then k-means on the unit sphere from spread starts."""
-    rng = np.random.default_rng(seed)
-    y = rng.standard_normal((x.shape[1], RANK + EXTRA)).astype(np.float32)
+def fit_space(tokens: DataFrame, idf: np.ndarray, seed: int = 5) -> np.ndarray:
+    """The TERMS x rank map into the latent space: randomised SVD of the TF-IDF of all documents. A step of the power iteration is a
+    pass over them."""
+    vectors = tokens.where(F.length("terms") > 0).select("terms", "tf")
+
+    def through(y: np.ndarray) -> np.ndarray:
+        y = y.astype(np.float32)
+
+        def part(b):
+            x = _vectors(b.column(0).to_pylist(), b.column(1).to_pylist(), idf)
+            return x.T @ (x @ y)
+
+        return _summed(vectors, part, TERMS, y.shape[1])
+
+    y = np.random.default_rng(seed).standard_normal((TERMS, RANK + EXTRA))
     for _ in range(ROUNDS):
-        y = np.linalg.qr(x.T @ (x @ y))[0]
-    _, inner = np.linalg.eigh((p := x @ y).T @ p)
-    space = (y @ inner[:, ::-1][:, :RANK]).astype(np.float32)
-    z = _unit(x @ space)
-    centres = z[rng.integers(0, len(z), 1)]
-    while len(centres) < min(TOPICS, len(z)):
-        far = np.maximum(0, 1 - (z @ centres.T).max(1))
-        if far.sum() <= 1e-9:
-            break
-        centres = np.r_[centres, z[rng.choice(len(z), 1, p=far / far.sum())]]
+        y = np.linalg.qr(through(y))[0]
+    _, inner = np.linalg.eigh(y.T @ through(y))
+    return (y @ inner[:, ::-1][:, :RANK]).astype(np.float32)
+
+
+def fit_topics(latent: DataFrame) -> np.ndarray:
+    """Topics x rank centres: k-means on the unit sphere over all rows of ``latent`` (z: bytes of a place), each round a pass over
+    them. It starts from the means of the fullest of the cells that the places' outstanding coordinate and its sign make."""
+    places = lambda b: np.frombuffer(b"".join(b.column(0).to_pylist()), "<f4").reshape(b.num_rows, RANK)
+    ones = lambda z: np.c_[z, np.ones(len(z), np.float32)]
+
+    def grouped(own, z: np.ndarray, n: int) -> np.ndarray:
+        return (own[:, None] == np.arange(n)).astype(np.float32).T @ ones(z)
+
+    def moments(b):
+        z = places(b)
+        return np.array([*(z.sum(0, dtype=np.float64), (z * z).sum(0, dtype=np.float64)), np.full(RANK, len(z))])
+
+    total, squares, n = _summed(latent, moments, 3, RANK)
+    mean = total / n
+    spread = np.sqrt(np.maximum(squares / n - mean * mean, 1e-12))
+
+    def outstanding(b):
+        z = places(b)
+        far = (z - mean) / spread
+        at = np.abs(far).argmax(1)
+        return grouped(2 * at + (far[np.arange(len(z)), at] > 0), z, 2 * RANK)
+
+    cells = _summed(latent, outstanding, 2 * RANK, RANK + 1)
+    cells = cells[np.argsort(-cells[:, RANK], kind="stable")][:TOPICS]
+    centres = _unit(cells[cells[:, RANK] > 0, :RANK])
     for _ in range(30):
-        own = (z @ centres.T).argmax(1)
-        moved = np.array([z[own == k].sum(0) if (own == k).any() else centres[k] for k in range(len(centres))])
-        moved = _unit(moved)
-        if np.abs(moved - centres).max() < 1e-6:
-            break
+        near = centres.astype(np.float32)
+        sums = _summed(latent, lambda b: grouped((places(b) @ near.T).argmax(1), places(b), len(near)), len(near), RANK + 1)  # noqa: B023
+        moved = np.where(sums[:, RANK:] > 0, _unit(sums[:, :RANK]), centres)
+        still = np.abs(moved - centres).max() < 1e-6
         centres = moved
-    return space, centres
+        if still:
+            break
+    return centres.astype(np.float32)
 
 
 def token_sizes(documents: DataFrame, tokenizer: str = TOKENIZER, text: str = "text", key: str = "doc_id", source: str = "source", lang: str = "lang") -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens) of every document, written once as a table.
 
     ``lang`` is a two-letter code in lower case, 'und' for anything else, so there are at most 677; ``topic`` the nearest of TOPICS
-    clusters in the latent space, -1 for a text without tokens. Token and document counts cover all documents; space and clusters are
-    fitted on about FIT_DOCUMENTS of them, chosen by a hash of their id. A null text has 0 tokens.
+    clusters in the latent space, -1 for a text without tokens. Counts, space and clusters are those of all documents. A null text
+    has 0 tokens.
     """
     tokens = _tokenized(documents, tokenizer, text, key, source, lang)
     df, n = _document_frequencies(tokens)
     idf = np.log((n + 1) / (df + 1)).astype(np.float32) + np.float32(0.01)
-    rate = min(1.0, FIT_DOCUMENTS / max(1, n))
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < int(rate * (1 << 30))
-    # Bounded: about FIT_DOCUMENTS rows of at most TERMS numbers.
-    sample = tokens.where(drawn & (F.length("terms") > 0)).select("doc_id", "terms", "tf").toPandas().sort_values("doc_id")
-    columns = "doc_id long, source string, lang string, topic int, n_tokens long"
-    if not len(sample):
+    if not df.any():
         return written(tokens.select("doc_id", "source", "lang", F.lit(-1).alias("topic"), "n_tokens"), "sizes")
-    space, centres = fit_topics(_vectors([np.frombuffer(t, "<i2") for t in sample.terms], [np.frombuffer(t, "<i4") for t in sample.tf], idf))
-    shared = tokens.sparkSession.sparkContext.broadcast((idf, space, centres))
+    space = fit_space(tokens, idf)
 
-    def assign(batches):
-        idf, space, centres = shared.value
+    def place(batches):
         for b in parts(batches):
-            terms, tf = b.column(4).to_pylist(), b.column(5).to_pylist()
-            size = np.array([len(t) // 2 for t in terms])
-            t = np.frombuffer(b"".join(terms), "<i2")
-            weights = ((1 + np.log(np.frombuffer(b"".join(tf), "<i4"))) * idf[t]).astype(np.float32)
-            z = np.zeros((b.num_rows, space.shape[1]), np.float32)
-            some = np.flatnonzero(size)
+            terms = b.column(4).to_pylist()
+            z = _unit(_vectors(terms, b.column(5).to_pylist(), idf) @ space).astype("<f4")
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([v.tobytes() if t else None for t, v in zip(terms, z, strict=True)], pa.binary())], ["doc_id", "source", "lang", "n_tokens", "z"])
+
+    latent = written(tokens.mapInArrow(place, "doc_id long, source string, lang string, n_tokens long, z binary"), "latent")
+    release(tokens)
+    centres = fit_topics(latent.where("z IS NOT NULL").select("z"))
+
+    def assign(batches):
+        for b in batches:
+            z = b.column(4).to_pylist()
+            some = np.flatnonzero([x is not None for x in z])
+            topic = np.full(b.num_rows, -1, np.int32)
             if len(some):
-                z[some] = np.add.reduceat(space[t] * weights[:, None], (np.cumsum(size) - size)[some], axis=0)
-            topic = np.where(size > 0, (z @ centres.T).argmax(1), -1).astype(np.int32)
+                topic[some] = (np.frombuffer(b"".join(z[i] for i in some), "<f4").reshape(-1, RANK) @ centres.T).argmax(1)
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(topic), b.column(3)], ["doc_id", "source", "lang", "topic", "n_tokens"])
 
-    sizes = written(tokens.mapInArrow(assign, columns), "sizes")
-    release(tokens)
+    sizes = written(latent.mapInArrow(assign, "doc_id long, source string, lang string, topic int, n_tokens long"), "sizes")
+    release(latent)
     return sizes
 
 

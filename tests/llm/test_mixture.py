@@ -115,3 +115,23 @@ def test_empty(spark, docs):
     assert mixture.shares(mixture.chosen(sizes, rates), sources).head().share == 0
     sources, rates = mixture.plan(sizes, spark.createDataFrame([], TARGETS))
     assert sources.count() == 0 and rates.count() == 0
+
+
+def test_fit_covers_all_documents(spark):
+    """Space and topics come from every document, of which there are more than the 4,000 that a sample once had: directions hold as
+    much as the best of all rows do, and each centre is the mean of all documents of its topic."""
+    r = np.random.default_rng(4)
+    words = [[f"{k}{a}{b}" for a in "bdfgk" for b in "aeiou"] for k in ("zu", "mi", "ro", "pa", "le", "ni", "to")]
+    df = spark.createDataFrame([(i, " ".join(r.choice(words[i % 7], 30)), "s", "en", "t", 1, 2) for i in range(6000)], DOCS)
+    tokens = mixture._tokenized(df, mixture.TOKENIZER, "text", "doc_id", "source", "lang")
+    freq, n = mixture._document_frequencies(tokens)
+    idf = np.log((n + 1) / (freq + 1)).astype(np.float32) + np.float32(0.01)
+    x = mixture._vectors(*zip(*((t.terms, t.tf) for t in tokens.orderBy("doc_id").collect()), strict=True), idf).astype(np.float64)
+    space = mixture.fit_space(tokens, idf)
+    best = np.sort(np.linalg.eigvalsh(x.T @ x))[::-1][:7]
+    assert np.allclose(np.sort(((x @ space) ** 2).sum(0))[::-1][:7], best, rtol=1e-3)
+    z = mixture._unit(x @ space).astype("<f4")
+    centres = mixture.fit_topics(spark.createDataFrame([(v.tobytes(),) for v in z], "z binary"))
+    own = (z @ centres.T).argmax(1)
+    assert all((mixture._unit(z[own == k].sum(0)[None]) @ centres[k])[0] > 0.999 for k in set(own))
+    assert all(len({*own[i::7]} & {*own[(i + 1) % 7 :: 7]}) == 0 for i in range(7))
