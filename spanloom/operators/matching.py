@@ -8,6 +8,7 @@ block sees, is left to wider blocks and in the end to rounds of mutually best pa
 from __future__ import annotations
 
 import sys
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -16,9 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.functions.tiling import div
+from spanloom.functions.tiling import DEFAULT_BIN, div
 from spanloom.operators.overlap import pair_similarity
-from spanloom.shared import cut, release, written
+from spanloom.operators.ranked import meetings
+from spanloom.shared import cut, release, written, written_alone
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -28,6 +30,8 @@ WIDTHS = (1 << 20, 1 << 25)
 TOUCHED = 4
 #: Pairs of a block beyond which it isn't scanned by one task.
 HOT_PAIRS = 1 << 19
+#: Pairs that are written at once, or as many as there are rows, and the steps of similarity that bands are made of.
+PAIRS, STEPS = 1 << 24, 1 << 14
 
 _COLUMNS = ["ds_idx", "contig", "q_id", "q_start", "q_end", "r_id", "r_start", "r_end", "sm"]
 
@@ -162,10 +166,45 @@ def match(candidates: DataFrame) -> DataFrame:
     return out
 
 
+def _in_bands(queries: DataFrame, regions: DataFrame, most: int, **options) -> DataFrame:
+    """The greedy matching of all overlapping pairs, of which only about ``most`` at a time are written: those of the greatest
+    similarities first, then those of the next among what these have left. As pairs of one similarity are never parted, that is the
+    order in which all would be looked at. Each band counts the pairs that are left and meets them again."""
+    regions = written(regions, "regions")
+    step = F.floor(F.col("sm").cast("double") * STEPS).cast("int")
+    done, below = [], STEPS + 1
+    while True:
+        pairs = pair_similarity(queries, regions, **options).where("ds_idx IS NOT NULL AND q_id IS NOT NULL AND r_id IS NOT NULL").where(step < below)
+        # At most STEPS + 1 rows, counted within the join's stage.
+        counts = {r.step: r.n for r in pairs.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()}
+        if not counts:
+            break
+        n, low = 0, below
+        for k in sorted(counts, reverse=True):
+            if low < below and n + counts[k] > most:
+                break
+            n, low = n + counts[k], k
+        band = pairs.where(step >= low).select(*_COLUMNS)
+        for taken in done:
+            band = band.join(taken.select("ds_idx", "q_id"), ["ds_idx", "q_id"], "left_anti")
+        done.append(written_alone(lambda: match(band), "taken"))  # noqa: B023
+        below = low
+        if low == min(counts):
+            break
+        before, regions = regions, written(regions.join(done[-1].select("ds_idx", "r_id"), ["ds_idx", "r_id"], "left_anti"), "regions")
+        release(before)
+    release(regions)
+    return reduce(DataFrame.unionByName, done) if done else match(pairs)
+
+
 def match_sums(queries: DataFrame, intervals: DataFrame, **options) -> DataFrame:
-    """(ds_idx, sm_sum, n_matched) of the greedy matching."""
+    """(ds_idx, sm_sum, n_matched) of the greedy matching. Where the tiles of both sides may hold more pairs than PAIRS and than they
+    have rows, it goes by bands of similarity, so that never all pairs are written."""
     kept = queries.where((F.col("start") >= 0) & (F.col("start") <= F.col("end")))
-    return match(pair_similarity(kept, intervals, **options)).groupBy("ds_idx").agg(F.sum(F.col("sm").cast("double")).alias("sm_sum"), F.count("*").alias("n_matched"))
+    pairs, rows = meetings(kept, intervals, options.get("bin_size", DEFAULT_BIN))
+    most = max(PAIRS, rows)
+    matched = _in_bands(kept, intervals, most, **options) if pairs > most else match(pair_similarity(kept, intervals, **options))
+    return matched.groupBy("ds_idx").agg(F.sum(F.col("sm").cast("double")).alias("sm_sum"), F.count("*").alias("n_matched"))
 
 
 def similarity(queries: DataFrame, intervals: DataFrame, **options) -> DataFrame:

@@ -10,7 +10,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +59,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def written_alone(build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``build`` gives, written; the tables that it wrote on the way are removed."""
+    before = set(_WRITTEN)
+    table = written(build(), name)
+    for path in set(_WRITTEN) - before - {table._spanloom_path}:
+        _delete(path)
+    return table
+
+
 def release(*tables: DataFrame) -> None:
     """Remove written tables that nothing reads any more."""
     for t in tables:

@@ -41,6 +41,23 @@ def test_blocks(spark, monkeypatch, widths, hot, long):
     assert len(got) == len(set(got)) and set(got) == greedy(pairs.collect())
 
 
+@pytest.mark.parametrize("steps", [3, 64])
+def test_bands(spark, monkeypatch, steps):
+    """Many pairs are matched by bands of similarity, none of which holds them all, as if all were scanned in one order."""
+    monkeypatch.setattr(matching, "PAIRS", 40)
+    monkeypatch.setattr(matching, "STEPS", steps)
+    queries, regions = dense(n=120)
+    q, r = spark.createDataFrame(queries, Q).where("start <= end"), spark.createDataFrame(regions, R)
+    pairs = overlap.pair_similarity(q, r).collect()
+    of, sm = greedy(pairs), {(p.ds_idx, p.q_id, p.r_id): p.sm for p in pairs}
+    sizes, match = [], matching.match
+    monkeypatch.setattr(matching, "match", lambda c: sizes.append(c.count()) or match(c))
+    got = {x.ds_idx: (x.n_matched, x.sm_sum) for x in matching.match_sums(q, r).collect()}
+    assert {d: n for d, (n, _) in got.items()} == {d: sum(p[0] == d for p in of) for d in (0, 1)}
+    assert all(abs(x - sum(sm[p] for p in of if p[0] == d)) < 1e-6 for d, (_, x) in got.items())
+    assert len(sizes) > 1 and max(sizes) < len(pairs)
+
+
 def test_chain(spark, monkeypatch):
     """A chain in which every pair is beaten by the next is decided in one scan, not in a round for each link."""
     monkeypatch.setattr(matching, "_rounds", lambda left: 1 / 0)
