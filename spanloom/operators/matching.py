@@ -2,7 +2,8 @@
 
 The greedy result within a stretch of a contig hardly depends on what lies far from it. So pairs are placed in coordinate blocks, each
 block is scanned once in greedy order, and what a block can't decide for certain, because a region or query reaches out of what the
-block sees, is left to wider blocks and in the end to rounds of mutually best pairs.
+block sees, is left to wider blocks and in the end to rounds of mutually best pairs. Where pairs are too many to be listed, blocks
+look for them themselves (:mod:`spanloom.operators.best_first`).
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanloom.functions.tiling import DEFAULT_BIN, div
-from spanloom.operators.overlap import pair_similarity
+from spanloom.operators import best_first
+from spanloom.operators.overlap import pair_similarity, wanted
 from spanloom.operators.ranked import meetings
 from spanloom.shared import cut, release, written, written_alone
 
@@ -32,6 +34,8 @@ TOUCHED = 4
 HOT_PAIRS = 1 << 19
 #: Pairs that are written at once, or as many as there are rows, and the steps of similarity that bands are made of.
 PAIRS, STEPS = 1 << 24, 1 << 14
+#: Pairs beyond which they aren't listed at all, but looked for by blocks.
+LISTED = 1 << 24
 
 _COLUMNS = ["ds_idx", "contig", "q_id", "q_start", "q_end", "r_id", "r_start", "r_end", "sm"]
 
@@ -166,13 +170,13 @@ def match(candidates: DataFrame) -> DataFrame:
     return out
 
 
-def _in_bands(queries: DataFrame, regions: DataFrame, most: int, **options) -> DataFrame:
-    """The greedy matching of all overlapping pairs, of which only about ``most`` at a time are written: those of the greatest
+def _in_bands(queries: DataFrame, regions: DataFrame, most: int, taken: tuple[DataFrame, ...] = (), **options) -> DataFrame:
+    """The greedy matching of all overlapping pairs, after the pairs ``taken`` and with them, of which only about ``most`` at a time are written: those of the greatest
     similarities first, then those of the next among what these have left. As pairs of one similarity are never parted, that is the
     order in which all would be looked at. Each band counts the pairs that are left and meets them again."""
     regions = written(regions, "regions")
     step = F.floor(F.col("sm").cast("double") * STEPS).cast("int")
-    done, below = [], STEPS + 1
+    done, below = list(taken), STEPS + 1
     while True:
         pairs = pair_similarity(queries, regions, **options).where("ds_idx IS NOT NULL AND q_id IS NOT NULL AND r_id IS NOT NULL").where(step < below)
         # At most STEPS + 1 rows, counted within the join's stage.
@@ -185,8 +189,8 @@ def _in_bands(queries: DataFrame, regions: DataFrame, most: int, **options) -> D
                 break
             n, low = n + counts[k], k
         band = pairs.where(step >= low).select(*_COLUMNS)
-        for taken in done:
-            band = band.join(taken.select("ds_idx", "q_id"), ["ds_idx", "q_id"], "left_anti")
+        for earlier in done:
+            band = band.join(earlier.select("ds_idx", "q_id"), ["ds_idx", "q_id"], "left_anti")
         done.append(written_alone(lambda: match(band), "taken"))  # noqa: B023
         below = low
         if low == min(counts):
@@ -197,13 +201,34 @@ def _in_bands(queries: DataFrame, regions: DataFrame, most: int, **options) -> D
     return reduce(DataFrame.unionByName, done) if done else match(pairs)
 
 
+def _unlisted(queries: DataFrame, regions: DataFrame, most: int, min_value: int = 0, **options) -> DataFrame:
+    """The greedy matching of all overlapping pairs without a list of them, but of those that blocks of no width decide."""
+    placed = "contig IS NOT NULL AND start IS NOT NULL AND end IS NOT NULL AND"
+    q = queries.select("q_id", "contig", "start", "end").where(f"{placed} q_id IS NOT NULL")
+    left = wanted(regions, min_value).select("ds_idx", "r_id", "contig", "start", "end").where(f"{placed} start < end AND r_id IS NOT NULL AND ds_idx IS NOT NULL")
+    done = []
+    for width in WIDTHS:
+        found = best_first.decided(q, left, reduce(DataFrame.unionByName, done) if done else None, width)
+        if found:
+            done.append(found[0])
+            left = found[1]
+            if left.isEmpty():
+                return reduce(DataFrame.unionByName, done)
+    return _in_bands(q, left, most, tuple(done), **options)
+
+
 def match_sums(queries: DataFrame, intervals: DataFrame, **options) -> DataFrame:
     """(ds_idx, sm_sum, n_matched) of the greedy matching. Where the tiles of both sides may hold more pairs than PAIRS and than they
-    have rows, it goes by bands of similarity, so that never all pairs are written."""
+    have rows, it goes by bands of similarity, so that never all pairs are written; beyond LISTED, by blocks that look for pairs."""
     kept = queries.where((F.col("start") >= 0) & (F.col("start") <= F.col("end")))
     pairs, rows = meetings(kept, intervals, options.get("bin_size", DEFAULT_BIN))
     most = max(PAIRS, rows)
-    matched = _in_bands(kept, intervals, most, **options) if pairs > most else match(pair_similarity(kept, intervals, **options))
+    if pairs > max(LISTED, most) and not options.get("compat_empty_first_tile"):
+        matched = _unlisted(kept, intervals, most, **options)
+    elif pairs > most:
+        matched = _in_bands(kept, intervals, most, **options)
+    else:
+        matched = match(pair_similarity(kept, intervals, **options))
     return matched.groupBy("ds_idx").agg(F.sum(F.col("sm").cast("double")).alias("sm_sum"), F.count("*").alias("n_matched"))
 
 
